@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, list[str]] = {}
 
@@ -44,3 +45,8 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_enough(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``keys`` with a broadcast hint if a count shows it to have at most ``most`` rows; else it is joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
