@@ -1,2 +1,473 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The catalogue: each operator on the test tables as a query, and the same in DuckDB's SQL.
+
+Steps are the events of a user in order of time, episodes end at events of type ``error``. Items are orders: the key
+is the order's, the table its priority class, the item's priority its price in cents. Values are whole numbers where
+sums could round, and arrays are spread over columns, so that both engines give equal rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import arrays as A
+from strandloom.operators import chunks as C
+from strandloom.operators import limiter as L
+from strandloom.operators import mutations as M
+from strandloom.operators import selectors as K
+from strandloom.operators import trajectory as TR
+from strandloom.operators.patterns import Condition, apply_pattern, apply_patterns, create_config, create_reference_step, td_error
+from strandloom.sources import steps as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_id, v (value in cents), kind, is_last, ts."""
+    e = read(spark, sf_dir, "events")
+    return e.select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("v"), F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("is_last"))
+
+
+ORDER = ("ts", "event_id")
+REF = create_reference_step()
+W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+STEPS_SQL = f"""steps AS (
+  SELECT user_id, ts, event_id, round(value * 100)::BIGINT AS v, event_type AS kind, event_type = 'error' AS is_last,
+         row_number() {W} - 1 AS step FROM events)"""
+EPISODES_SQL = STEPS_SQL + """, episodes AS (
+  SELECT *, coalesce(sum(is_last::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS episode FROM steps)"""
+
+
+def pattern(spark: SparkSession, sf_dir: str, nodes: dict, conditions: tuple = (), **more) -> DataFrame:  # noqa: ANN003
+    return apply_pattern(steps(spark, sf_dir), create_config(nodes, "t", conditions), ["user_id"], ORDER, **more)
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("table"), F.col("o_orderkey").alias("key"), F.round(F.col("o_totalprice") * 100).cast("long").cast("double").alias("priority"), F.col("o_orderkey").alias("insert_seq"), F.col("o_orderkey").alias("update_seq"), F.lit(0).cast("long").alias("times_sampled"))
+
+
+ITEMS_SQL = 'items AS (SELECT o_orderpriority AS "table", o_orderkey AS key, round(o_totalprice * 100)::BIGINT AS priority FROM orders)'
+
+# ---- patterns
+
+
+@query(f"WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, lag(v) {W} AS prev, v AS cur FROM steps) SELECT * FROM l WHERE prev IS NOT NULL AND cur IS NOT NULL")
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern(spark, sf_dir, {"prev": REF["v"][-2], "cur": REF["v"][-1]}).select("user_id", "event_id", "prev", "cur")
+
+
+@query(f"WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, lag(v, 2) {W} AS a, lag(v, 1) {W} AS b, v AS c FROM steps) SELECT * FROM l WHERE a + b + c IS NOT NULL")
+def nstep_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern(spark, sf_dir, {"x": REF["v"][-3:]}).select("user_id", "event_id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+
+
+@query(f"WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, lag(v, 4) {W} AS a, lag(v, 2) {W} AS b, v AS c FROM steps, (SELECT 1)) SELECT * FROM l WHERE a + b + c IS NOT NULL")
+def strided_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern(spark, sf_dir, {"x": REF["v"][-5::2]}).select("user_id", "event_id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+
+
+@query(f"""WITH {STEPS_SQL}, n AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN v END AS x FROM steps),
+l AS (SELECT user_id, event_id, lag(x, 2) {W} AS a, lag(x, 1) {W} AS b, x AS c FROM n) SELECT * FROM l WHERE a + b + c IS NOT NULL""")
+def null_skipping_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).withColumn("x", F.when(F.col("event_id") % 7 != 0, F.col("v")))
+    return apply_pattern(s, create_config({"x": REF["x"][-3:]}, "t"), ["user_id"], ORDER).select("user_id", "event_id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+
+
+def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = {"eq": Condition.step_index() == 3, "ge": Condition.step_index() >= 5, "lt": Condition.step_index() < 4, "mod": Condition.step_index() % 3 == 1, "ne": Condition.step_index() % 3 != 0}
+    out = None
+    for name, test in tests.items():
+        made = pattern(spark, sf_dir, {"x": REF["v"][-1]}, (test,)).select(F.lit(name).alias("test"), "user_id", "event_id", "x")
+        out = made if out is None else out.union(made)
+    return out
+
+
+@query(f"""WITH {STEPS_SQL} SELECT test, user_id, event_id, v AS x FROM steps, (VALUES ('eq'), ('ge'), ('lt'), ('mod'), ('ne')) AS t(test)
+WHERE v IS NOT NULL AND CASE test WHEN 'eq' THEN step = 3 WHEN 'ge' THEN step >= 5 WHEN 'lt' THEN step < 4 WHEN 'mod' THEN step % 3 = 1 ELSE step % 3 <> 0 END""")
+def cond_step_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conditions(spark, sf_dir)
+
+
+@query(f"WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, lag(v) {W} AS a, v AS b, kind FROM steps) SELECT user_id, event_id, a, b FROM l WHERE kind = 'click' AND a + b IS NOT NULL")
+def cond_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).withColumn("flag", F.col("kind") == "click")
+    config = create_config({"a": REF["v"][-2], "b": REF["v"][-1]}, "t", (Condition.data("flag") == 1,))
+    return apply_pattern(s, config, ["user_id"], ORDER).select("user_id", "event_id", "a", "b")
+
+
+@query(f"WITH {EPISODES_SQL}, l AS (SELECT user_id, event_id, is_last, lag(v) OVER (PARTITION BY user_id, episode ORDER BY ts, event_id) AS a, v AS b FROM episodes) SELECT user_id, event_id, a, b FROM l WHERE is_last AND a + b IS NOT NULL")
+def cond_end_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S.number_episodes(steps(spark, sf_dir), ["user_id"], ORDER, F.col("is_last"))
+    config = create_config({"a": REF["v"][-2], "b": REF["v"][-1]}, "t", (Condition.is_end_episode(),))
+    return apply_pattern(s, config, ["user_id"], ORDER, "episode", F.col("is_last")).select("user_id", "event_id", "a", "b")
+
+
+@query(f"""WITH RECURSIVE {STEPS_SQL}, n AS (SELECT *, row_number() {W} AS i FROM steps WHERE v IS NOT NULL),
+r AS (
+  SELECT user_id, i, event_id, v, step, CASE WHEN 1 >= 4 AND v % 2 = 0 THEN 1 ELSE 0 END AS fired, CASE WHEN 1 >= 4 AND v % 2 = 0 THEN 0 ELSE 1 END AS since FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.user_id, n.i, n.event_id, n.v, n.step, CASE WHEN r.since + 1 >= 4 AND n.v % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN r.since + 1 >= 4 AND n.v % 2 = 0 THEN 0 ELSE r.since + 1 END
+  FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT user_id, event_id, v AS x FROM r WHERE fired = 1""")
+def steps_since_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).withColumn("even", F.col("v") % 2 == 0)
+    config = create_config({"x": REF["v"][-1]}, "t", (Condition.steps_since_applied() >= 4, Condition.data("even") == 1))
+    return apply_pattern(s, config, ["user_id"], ORDER).select("user_id", "event_id", "x")
+
+
+@query(f"""WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, step, lag(v) {W} AS a, v AS b FROM steps)
+SELECT 'pairs' AS "table", 0 AS config_idx, user_id, event_id, a, b FROM l WHERE a + b IS NOT NULL
+UNION ALL SELECT 'thirds', 1, user_id, event_id, a, b FROM l WHERE a + b IS NOT NULL AND step % 3 = 2""")
+def multi_config_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = {"a": REF["v"][-2], "b": REF["v"][-1]}
+    configs = [create_config(nodes, "pairs"), create_config(nodes, "thirds", (Condition.step_index() % 3 == 2,))]
+    return apply_patterns(steps(spark, sf_dir), configs, ["user_id"], ORDER).select("table", "config_idx", "user_id", "event_id", "a", "b")
+
+
+@query(f"WITH {EPISODES_SQL}, l AS (SELECT user_id, event_id, lag(v) OVER (PARTITION BY user_id, episode ORDER BY ts, event_id) AS a, v AS b FROM episodes) SELECT * FROM l WHERE a + b IS NOT NULL")
+def episode_bounded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S.number_episodes(steps(spark, sf_dir), ["user_id"], ORDER, F.col("is_last"))
+    return apply_pattern(s, create_config({"a": REF["v"][-2], "b": REF["v"][-1]}, "t"), ["user_id"], ORDER, "episode").select("user_id", "event_id", "a", "b")
+
+
+@query(f"""WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, v, lag(v) {W} AS p, lag(v, 2) {W} AS q FROM steps)
+SELECT user_id, event_id, round(0.5 * greatest(abs(v), abs(p), abs(q)) + 0.5 * (abs(v) + abs(p) + abs(q)) / 3, 3) AS priority FROM l WHERE v + p + q IS NOT NULL""")
+def td_error_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = create_config({"x": REF["v"][-3:]}, "t", (), td_error(0.5, "v"))
+    return apply_pattern(steps(spark, sf_dir), config, ["user_id"], ORDER).select("user_id", "event_id", F.round("priority", 3).alias("priority"))
+
+
+# ---- steps and trajectories
+
+
+@query("SELECT event_id, max(value_c) AS value_c, max(kind) AS kind FROM (SELECT event_id, round(value * 100)::BIGINT AS value_c, NULL AS kind FROM events UNION ALL SELECT event_id, NULL, event_type FROM events) GROUP BY 1")
+def partial_step_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir)
+    parts = s.select("event_id", F.col("v").alias("value_c"), F.lit(None).cast("string").alias("kind")).union(s.select("event_id", F.lit(None).cast("long"), "kind"))
+    return S.merge_partial_steps(parts, ["event_id"], ["value_c", "kind"])
+
+
+@query("SELECT vec_id, (i - 1)::INT AS step, round(embedding[i] * 10000)::BIGINT AS cell FROM embeddings, range(1, 4097) r(i) WHERE i <= len(embedding)")
+def append_sequence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.append_sequence(read(spark, sf_dir, "embeddings"), ["vec_id"], ["embedding"])
+    return out.select("vec_id", "step", F.round(F.col("embedding") * 10000).cast("long").alias("cell"))
+
+
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT) - 1)::INT AS t, l_linenumber AS line, l_quantity::BIGINT AS quantity FROM lineitem")
+def timestep_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q")).alias("s"))
+    whole = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("s")).select("l_orderkey", F.col("s.l_linenumber").alias("line"), F.col("s.q").alias("quantity"))
+    return TR.explode_timesteps(whole, ["l_orderkey"], ["line", "quantity"])
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations)
+SELECT conv_id, string_agg(n::VARCHAR, ',' ORDER BY turn) AS lengths FROM c WHERE idx >= 1 AND idx < 6 GROUP BY conv_id""")
+def trajectory_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns 1 to 5 of each conversation, read from chunks of two turns through slices."""
+    turns = _turns(spark, sf_dir)
+    chunks = C.build_chunks(turns, ["conv_id"], "turn", "n", 2)
+    places = S.number_steps(turns, ["conv_id"], ["turn"]).withColumnRenamed("step", "at")
+    cells = C.assign_chunks(turns, ["conv_id"], "turn", "n", 2).join(places.select("conv_id", "turn", "at"), ["conv_id", "turn"]).where("at >= 1 AND at < 6")
+    refs = cells.join(chunks.select("conv_id", "chunk_no", "chunk_key"), ["conv_id", "chunk_no"])
+    slices = C.merge_slices(refs, ["conv_id"], "turn")
+    out = TR.assemble(slices, chunks.select("chunk_key", "data"), ["conv_id"])
+    return out.select("conv_id", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("lengths"))
+
+
+@query("""WITH c AS (SELECT conv_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
+  lead(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS m FROM conversations)
+SELECT conv_id, (idx // 2)::INT AS stack, n::BIGINT AS a, m::BIGINT AS b FROM c WHERE m IS NOT NULL AND idx % 2 = 0""")
+def frame_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "n"))).alias("s"))
+    stacks = whole.select("conv_id", F.posexplode(A.frame_stack(F.col("s.n"), 2, 2)).alias("stack", "x"))
+    return stacks.select("conv_id", "stack", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
+SELECT conv_id, string_agg(n::VARCHAR, ',' ORDER BY turn) AS observations, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (i < k), '') AS actions FROM c GROUP BY conv_id""")
+def complete_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = TR.complete_episodes(_turns(spark, sf_dir).withColumn("a", F.col("turn")), "conv_id", "turn", "n", "a")
+    return out.select("conv_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("observations", "actions")])
+
+
+@query(f"""WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, lag(v) {W} AS a, v AS b, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING) AS n FROM steps)
+SELECT user_id, event_id, a, b FROM l WHERE n = 2""")
+def last_steps_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.last_steps(steps(spark, sf_dir), ["user_id"], ORDER, ["v"], 2)
+    return out.select("user_id", "event_id", F.get("v", F.lit(0)).alias("a"), F.get("v", F.lit(1)).alias("b"))
+
+
+@query("""SELECT region.r_regionkey, t AS "table", p AS priority FROM region, (VALUES ('a', 1.0::DOUBLE), ('b', 0.5::DOUBLE)) AS x(t, p)""")
+def insert_many_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.insert(read(spark, sf_dir, "region").select("r_regionkey"), {"a": 1.0, "b": 0.5})
+
+
+# ---- chunks
+
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+LINES_SQL = f"lines AS (SELECT l_orderkey AS episode, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS step, l_quantity::BIGINT AS q FROM lineitem)"
+CELLS_SQL = LINES_SQL + ", cells AS (SELECT episode, step, row_number() OVER (PARTITION BY episode ORDER BY step) - 1 AS idx, q FROM lines WHERE q % 5 <> 0)"
+
+
+def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.number_steps(read(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER)
+    return rows.select(F.col("l_orderkey").alias("episode"), F.col("step").cast("long").alias("step"), F.col("l_quantity").cast("long").alias("q"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_lines(spark, sf_dir).withColumn("q", F.when(F.col("q") % 5 != 0, F.col("q")))
+
+
+@query(f'WITH {CELLS_SQL} SELECT episode, (idx // 2)::BIGINT AS chunk_no, min(step) AS "start", max(step) AS "end", count(*) AS num_rows, max(step) - min(step) + 1 <> count(*) AS sparse, sum(q)::BIGINT AS total FROM cells GROUP BY 1, 2')
+def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = C.build_chunks(_lines(spark, sf_dir), ["episode"], "step", "q", 2)
+    return made.select("episode", "chunk_no", "start", "end", "num_rows", "sparse", F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH {CELLS_SQL}, p AS (SELECT episode, idx, idx // 3 AS chunk_no, idx % 3 AS o FROM cells WHERE q % 2 = 1),
+n AS (SELECT *, CASE WHEN lag(chunk_no) OVER w = chunk_no AND lag(o) OVER w + 1 = o THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY episode ORDER BY idx)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY episode ORDER BY idx) - 1 AS slice_no FROM n)
+SELECT episode, slice_no::BIGINT AS slice_no, min(o)::BIGINT AS "offset", count(*) AS length FROM r GROUP BY 1, 2""")
+def slice_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = C.assign_chunks(_lines(spark, sf_dir), ["episode"], "step", "q", 3).where("q % 2 = 1")
+    out = C.merge_slices(cells.withColumn("chunk_key", F.col("chunk_no")), ["episode"], "step")
+    return out.select("episode", F.col("slice_no").cast("long").alias("slice_no"), F.col("offset").cast("long").alias("offset"), "length")
+
+
+@query(f"""WITH {CELLS_SQL}, c AS (SELECT episode, idx // 2 AS chunk_no, count(*) AS n FROM cells GROUP BY 1, 2),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY episode ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+s AS (SELECT episode, chunk_no::BIGINT AS chunk_no, greatest(0, 1 - before)::BIGINT AS "offset", (least(n, 4 - before) - greatest(0, 1 - before))::BIGINT AS length FROM b) SELECT * FROM s WHERE length > 0""")
+def flat_slices_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = C.build_chunks(_lines(spark, sf_dir), ["episode"], "step", "q", 2)
+    return C.timestep_slices(made, ["episode"], "chunk_no", 1, 3)
+
+
+@query(f"WITH {LINES_SQL} SELECT episode, step, (q - coalesce(lag(q) OVER (PARTITION BY episode ORDER BY step), 0))::BIGINT AS q FROM lines")
+def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _all_lines(spark, sf_dir)
+    return C.delta_encode(rows, ["episode"], "step", "q")
+
+
+@query(f"WITH {LINES_SQL} SELECT episode, step, q FROM lines")
+def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.delta_decode(delta_encode(spark, sf_dir), ["episode"], "step", "q")
+
+
+REFS_SQL = "refs AS (SELECT l_orderkey AS key, l_partkey AS chunk_key FROM lineitem WHERE l_orderkey % 3 = 0)"
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("chunk_key"))
+
+
+@query(f"WITH {REFS_SQL} SELECT chunk_key, count(DISTINCT key) AS num_items FROM refs GROUP BY 1")
+def chunk_refcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.reference_counts(_refs(spark, sf_dir))
+
+
+@query(f"WITH {REFS_SQL} SELECT p_partkey AS chunk_key FROM part WHERE p_partkey IN (SELECT chunk_key FROM refs)")
+def live_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.live_chunks(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_key")), _refs(spark, sf_dir))
+
+
+@query(f"WITH {REFS_SQL} SELECT p_partkey AS chunk_key FROM part WHERE p_partkey NOT IN (SELECT chunk_key FROM refs)")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.orphan_chunks(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_key")), _refs(spark, sf_dir))
+
+
+@query('SELECT o_orderpriority AS "table", count(DISTINCT o_custkey) AS num_episodes FROM orders GROUP BY 1')
+def num_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return M.episode_counts(o.select(F.col("o_orderpriority").alias("table"), F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("episode_id")))
+
+
+@query("""WITH e AS (SELECT o_orderpriority AS "table", o_custkey AS episode_id, o_orderkey * 2 AS op_seq, 1 AS delta FROM orders
+  UNION ALL SELECT o_orderpriority, o_custkey, o_orderkey * 2 + 400, -1 FROM orders WHERE o_orderkey % 3 > 0),
+s AS (SELECT "table", episode_id, op_seq, sum(delta) AS d FROM e GROUP BY 1, 2, 3),
+r AS (SELECT "table", d, sum(d) OVER (PARTITION BY "table", episode_id ORDER BY op_seq) AS refs FROM s) SELECT "table", count(*) AS num_deleted_episodes FROM r WHERE refs = 0 AND d < 0 GROUP BY 1""")
+def num_deleted_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("table"), F.col("o_custkey").alias("episode_id"), F.col("o_orderkey").alias("k"))
+    made = o.select("table", "episode_id", (F.col("k") * 2).alias("op_seq"), F.lit(1).alias("delta"))
+    gone = o.where("k % 3 > 0").select("table", "episode_id", (F.col("k") * 2 + 400).alias("op_seq"), F.lit(-1).alias("delta"))
+    return M.deleted_episode_counts(made.union(gone))
+
+
+# ---- selectors
+
+
+def _heads(kind: str, order: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return K.head(items(spark, sf_dir), K.Selector(kind), 5).select("table", "key", "rank")
+
+    run.__name__ = f"{kind.replace('_', '')}_head"
+    query(f'WITH {ITEMS_SQL}, r AS (SELECT "table", key, row_number() OVER (PARTITION BY "table" ORDER BY {order}) AS rank FROM items) SELECT "table", key, rank::INT AS rank FROM r WHERE rank <= 5')(run)
+
+
+def _survivors(kind: str, order: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return K.survivors(items(spark, sf_dir), K.Selector(kind), 100).select("table", "key")
+
+    run.__name__ = f"{kind.replace('_', '')}_eviction_survivors"
+    query(f'WITH {ITEMS_SQL}, r AS (SELECT "table", key, row_number() OVER (PARTITION BY "table" ORDER BY {order}) AS rank FROM items) SELECT "table", key FROM r WHERE rank <= 100')(run)
+
+
+for _kind, _head, _last in (("fifo", "key", "key DESC"), ("lifo", "key DESC", "key"), ("min_heap", "priority, key", "priority DESC, key DESC"), ("max_heap", "priority DESC, key", "priority, key DESC")):
+    _heads(_kind, _head)
+    _survivors(_kind, _last)
+
+
+@query(f'WITH {ITEMS_SQL} SELECT "table", key, round(1.0::DOUBLE / count(*) OVER (PARTITION BY "table"), 9) AS probability FROM items')
+def uniform_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.probabilities(items(spark, sf_dir), K.Uniform()).select("table", "key", F.round("probability", 9).alias("probability"))
+
+
+@query(f'WITH {ITEMS_SQL} SELECT "table", key, round(pow(priority, 0.8) / sum(pow(priority, 0.8)) OVER (PARTITION BY "table"), 9) AS probability FROM items')
+def prioritized_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.probabilities(items(spark, sf_dir), K.Prioritized(0.8)).select("table", "key", F.round("probability", 9).alias("probability"))
+
+
+@query(f"""WITH {ITEMS_SQL}, z AS (SELECT "table", key, CASE WHEN "table" = '1-URGENT' THEN 0 WHEN key % 2 = 0 THEN 0 ELSE 1 END AS w FROM items)
+SELECT "table", key, round(CASE WHEN sum(w) OVER p > 0 THEN w::DOUBLE / sum(w) OVER p ELSE 1.0::DOUBLE / count(*) OVER p END, 9) AS probability FROM z WINDOW p AS (PARTITION BY "table")""")
+def prioritized_zero_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority 0 has weight 0 even with exponent 0; a table of zeros is uniform."""
+    zero = items(spark, sf_dir).withColumn("priority", F.when((F.col("table") == "1-URGENT") | (F.col("key") % 2 == 0), F.lit(0.0)).otherwise(F.col("priority")))
+    return K.probabilities(zero, K.Prioritized(0.0)).select("table", "key", F.round("probability", 9).alias("probability"))
+
+
+@query(f"""WITH {ITEMS_SQL}, p AS (SELECT "table", key, count(*) OVER w AS n, pow(priority, 0.8) / sum(pow(priority, 0.8)) OVER w AS p FROM items WINDOW w AS (PARTITION BY "table"))
+SELECT "table", key, round(pow(n * p, -0.4), 6) AS weight FROM p""")
+def importance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    sized = K.probabilities(i, K.Prioritized(0.8)).join(i.groupBy("table").agg(F.count("*").alias("table_size")), "table")
+    return K.importance_weights(sized, 0.4).select("table", "key", F.round("weight", 6).alias("weight"))
+
+
+@query("""SELECT t AS "table", draw, round(concat('0x', substr(md5('7:' || t || ':' || draw), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE, 12) AS u
+FROM (SELECT DISTINCT o_orderpriority AS t FROM orders), range(100) r(draw)""")
+def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.draws(items(spark, sf_dir).select("table").distinct(), 100, 7).select("table", "draw", F.round("u", 12).alias("u"))
+
+
+@query(None)
+def seeded_prioritized_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    return K.sample(i, K.draws(i.select("table").distinct(), 500, 7), K.Prioritized(0.8))
+
+
+@query(None)
+def seeded_uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    return K.sample(i, K.draws(i.select("table").distinct(), 500, 11), K.Uniform())
+
+
+# ---- rate limits and mutations
+
+OPS_SQL = "ops AS (SELECT user_id AS \"table\", event_id AS op_seq, CASE WHEN event_type IN ('click', 'view') THEN 'insert' WHEN event_type = 'error' THEN 'delete' ELSE 'sample' END AS op FROM events)"
+
+
+def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_type").isin("click", "view"), "insert").when(F.col("event_type") == "error", "delete").otherwise("sample")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("table"), F.col("event_id").alias("op_seq"), op.alias("op"), F.col("event_id").alias("key"))
+
+
+@query(f"""WITH RECURSIVE {OPS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS i FROM ops),
+r AS (
+  SELECT "table", 0::BIGINT AS i, -1::BIGINT AS op_seq, '' AS op, 0 AS ins, 0 AS sam, 0 AS del, FALSE AS ok FROM ops GROUP BY "table"
+  UNION ALL
+  SELECT "table", i, op_seq, op, ins + (op = 'insert' AND ok)::INT, sam + (op = 'sample' AND ok)::INT, del + (op = 'delete')::INT, ok FROM (
+    SELECT n."table", n.i, n.op_seq, n.op, r.ins, r.sam, r.del, CASE n.op
+      WHEN 'insert' THEN r.ins + 1 - r.del <= 2 OR (r.ins + 1) * 1.5 - r.sam <= 3
+      WHEN 'sample' THEN r.ins - r.del >= 2 AND r.ins * 1.5 - r.sam - 1 >= -1 ELSE TRUE END AS ok
+    FROM r JOIN n ON n."table" = r."table" AND n.i = r.i + 1))
+SELECT "table", op_seq, op, ok AS admitted FROM r WHERE i > 0""")
+def limiter_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.admit(_ops(spark, sf_dir).drop("key"), L.RateLimiter(1.5, 2, -1.0, 3.0))
+
+
+@query(f"""WITH {OPS_SQL}, c AS (SELECT "table", count(*) FILTER (op = 'insert') AS inserts, count(*) FILTER (op = 'sample') AS samples, count(*) FILTER (op = 'delete') AS deletes FROM ops GROUP BY 1)
+SELECT *, inserts - deletes >= 2 AND inserts * 1.5 - samples - 1 >= -1 AS can_sample, inserts + 1 - deletes <= 2 OR (inserts + 1) * 1.5 - samples <= 3 AS can_insert FROM c""")
+def limiter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.limiter_state(_ops(spark, sf_dir), L.RateLimiter(1.5, 2, -1.0, 3.0))
+
+
+@query(f"""WITH {OPS_SQL}, i AS (SELECT "table", op_seq AS key, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS k FROM ops WHERE op = 'insert'),
+s AS (SELECT "table", op_seq AS sampled_at, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS k FROM ops WHERE op = 'sample')
+SELECT i."table", i.key, s.sampled_at FROM i JOIN s ON i."table" = s."table" AND i.k = s.k""")
+def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.queue_replay(_ops(spark, sf_dir))
+
+
+@query(None)
+def stack_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.stack_replay(_ops(spark, sf_dir))
+
+
+@query("""SELECT o_orderpriority AS "table", o_custkey AS key, min(o_orderkey) AS insert_seq, max(o_orderkey) AS update_seq,
+  arg_max(round(o_totalprice * 100)::BIGINT, o_orderkey) AS priority, arg_min(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1, 2""")
+def insert_or_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    log = o.select(F.col("o_orderpriority").alias("table"), F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("op_seq"), F.round(F.col("o_totalprice") * 100).cast("long").alias("priority"), F.col("o_orderstatus").alias("status"))
+    return M.insert_or_assign(log, ("status",))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT "table", key, CASE WHEN key % 4 = 1 THEN key ELSE priority END::BIGINT AS priority FROM items WHERE key % 5 <> 0""")
+def mutate_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    updates = i.where("key % 4 = 1").select("table", "key", F.col("key").cast("double").alias("priority"), F.lit(1 << 40).alias("op_seq"))
+    return M.mutate_priorities(i, updates, i.where("key % 5 = 0")).select("table", "key", F.col("priority").cast("long").alias("priority"))
+
+
+DRAWS_SQL = "draws AS (SELECT l_orderkey AS key, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R')"
+
+
+def _draw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("table"))
+    log = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("op_seq"))
+    return log.join(names, "key")
+
+
+@query(f"""WITH {ITEMS_SQL}, {DRAWS_SQL}, c AS (SELECT key, count(*) AS n FROM draws GROUP BY key)
+SELECT "table", items.key, coalesce(n, 0)::BIGINT AS times_sampled FROM items LEFT JOIN c ON c.key = items.key WHERE coalesce(n, 0) < 2""")
+def max_times_sampled_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.after_sampling(items(spark, sf_dir), _draw_log(spark, sf_dir), 2).select("table", "key", "times_sampled")
+
+
+@query(f"""WITH {ITEMS_SQL}, {DRAWS_SQL} SELECT 'seen' AS "table", items.key, items.priority::BIGINT AS priority, 1::BIGINT AS times_sampled, min(draws.key * 10 + n)::BIGINT AS insert_seq FROM items JOIN draws USING (key) GROUP BY ALL""")
+def insert_on_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.insert_on_sample(items(spark, sf_dir), _draw_log(spark, sf_dir), "seen")
+    return out.select("table", "key", F.col("priority").cast("long").alias("priority"), "times_sampled", "insert_seq")
+
+
+@query(f"""WITH {ITEMS_SQL}, {DRAWS_SQL}, c AS (SELECT key, count(*) AS n FROM draws GROUP BY key), t AS (SELECT "table", priority, coalesce(n, 0) AS n FROM items LEFT JOIN c USING (key))
+SELECT "table", count(*) AS current_size, count(*) FILTER (n > 0) AS num_unique_samples, sum(n)::BIGINT AS total_samples, min(priority)::BIGINT AS min_priority, max(priority)::BIGINT AS max_priority FROM t GROUP BY 1""")
+def table_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.table_info(M.after_sampling(items(spark, sf_dir), _draw_log(spark, sf_dir)))
+    return out.select("table", "current_size", "num_unique_samples", "total_samples", *[F.col(c).cast("long").alias(c) for c in ("min_priority", "max_priority")])
+
+
+@query("SELECT conv_id FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) WHERE n <> 4")
+def signature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _turns(spark, sf_dir).groupBy("conv_id").agg(F.collect_list("n").alias("n"))
+    return TR.wrong_lengths(whole, {"n": 4}).select("conv_id")
