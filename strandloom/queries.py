@@ -165,10 +165,10 @@ def partial_step_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_partial_steps(parts, ["event_id"], ["value_c", "kind"])
 
 
-@query("SELECT vec_id, (i - 1)::INT AS step, round(embedding[i] * 10000)::BIGINT AS cell FROM embeddings, range(1, 4097) r(i) WHERE i <= len(embedding)")
+@query("SELECT vec_id, (i - 1)::INT AS step, round(embedding[i]::DOUBLE * 10000)::BIGINT AS cell FROM embeddings, range(1, 4097) r(i) WHERE i <= len(embedding)")
 def append_sequence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.append_sequence(read(spark, sf_dir, "embeddings"), ["vec_id"], ["embedding"])
-    return out.select("vec_id", "step", F.round(F.col("embedding") * 10000).cast("long").alias("cell"))
+    return out.select("vec_id", "step", F.round(F.col("embedding").cast("double") * 10000).cast("long").alias("cell"))
 
 
 @query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT) - 1)::INT AS t, l_linenumber AS line, l_quantity::BIGINT AS quantity FROM lineitem")

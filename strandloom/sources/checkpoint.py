@@ -36,10 +36,10 @@ class Checkpointer:
         out = f"{self.path}/{datetime.now(UTC).strftime('%Y-%m-%dT%H-%M-%S.%f')}"
         for name, df in tables.items():
             df.write.parquet(f"{out}/{name}")
+        about = json.dumps({"tables": sorted(tables), "meta": meta or {}})
+        self.spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{out}/about")
         fs, where = self._fs(f"{out}/_DONE")
-        made = fs.create(where)
-        made.write(bytearray(json.dumps({"tables": sorted(tables), "meta": meta or {}}).encode()))
-        made.close()
+        fs.create(where).close()
         for old in self._complete(self.path)[:-keep_latest]:
             fs.delete(self._fs(old)[1], True)
         return out
@@ -57,6 +57,5 @@ class Checkpointer:
         folder = folder or self.latest()
         if folder is None:
             raise FileNotFoundError(f"no complete checkpoint in {self.path}")
-        text = self.spark.read.text(f"{folder}/_DONE", wholetext=True).first()[0]
-        done = json.loads(text)
+        done = json.loads(self.spark.read.text(f"{folder}/about").first()[0])
         return {n: self.spark.read.parquet(f"{folder}/{n}") for n in done["tables"]}, done["meta"]
