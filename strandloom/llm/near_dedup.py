@@ -76,7 +76,7 @@ def super_min_hash(h: np.ndarray, offsets: np.ndarray, slots: int = BANDS * ROWS
             break
         h, doc = h[open_], doc[open_]
         if perm is None:
-            perm = np.tile(np.arange(slots, dtype=np.uint8), (len(h), 1))
+            perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(h), 1))
             perm[np.arange(len(h)), k[open_]] = 0
         elif not open_.all():
             perm = perm[open_]

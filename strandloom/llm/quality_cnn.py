@@ -101,14 +101,18 @@ class ByteNet:
         ge[PAD] = 0
         return {"embed": ge, "filters": gf.T, "bias": df.sum(axis=0), "out": np.concatenate([d @ mean, d @ top]), "offset": d.sum(keepdims=True)}
 
-    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, decay: float = 1e-4) -> ByteNet:
-        """Adam over shuffled batches with a falling rate, classes weighted to count alike. Deterministic for a given sample."""
+    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, least_steps: int = 300, batch: int = 64, rate: float = 0.01, decay: float = 1e-4) -> ByteNet:
+        """Adam over shuffled batches with a falling rate, classes weighted to count alike; more epochs over small samples.
+
+        Deterministic for a given sample.
+        """
         y = labels.astype(np.float32)
         if len(y) == 0:
             return self
         share = np.clip(y.mean(), 0.02, 0.98)
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) ** 0.5
         r, m, v, t = np.random.default_rng(self.seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
+        epochs = min(60, max(epochs, least_steps // -(-len(y) // batch)))
         total = epochs * -(-len(y) // batch)
         for _ in range(epochs):
             order = r.permutation(len(y))
