@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ class WordTokens:
     """Token ids by word, for a tokenizer whose tokens never cross ASCII white space.
 
     The tokenizer turns every white space into a cut between words before it merges anything, so that a text's ids are
-    the ids of its words in order. Each distinct word is encoded once by the library, in lists.
+    the ids of its words in order. It lower-cases too, and cuts between an ASCII letter and a full stop or comma; doing
+    both first leaves fewer distinct words. Each of them is encoded once by the library, in lists.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -60,7 +62,7 @@ class WordTokens:
         """Ids of all texts, each followed by ``end_id``, and offsets."""
         if len(self.memo) > CACHE_WORDS:
             self.reset()
-        offsets, codes, vocabulary = split_words(texts)
+        offsets, codes, vocabulary = split_words(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,]\s)", r"\1 \2"))
         words = vocabulary.to_pylist()
         if new := [w for w in words if w not in self.memo]:
             self._add(new)
