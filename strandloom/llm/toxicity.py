@@ -22,7 +22,7 @@ from .text import lengths_to_rows, slices, split_words, strings, word_hashes
 
 BITS = 18
 #: Bounds of the training sample: documents, and bytes of one of them (longer ones are left out of it whole).
-MAX_LABELLED, MAX_BYTES = 12_000, 20_000
+MAX_LABELLED, MAX_BYTES = 8_000, 20_000
 #: Logit of a sentence in which nothing is known; low enough that a thousand such sentences stay harmless.
 START = -9.0
 ENDS = "[.!?\n]"
@@ -72,10 +72,15 @@ class SentenceModel:
         """
         if not len(labels):
             return self
-        doc_at, sent_at, words, _ = sentence_bags(pa.array(texts, pa.large_string()))
+        parts, in_docs = [], np.zeros(1 << BITS, np.int64)
+        for start in range(0, len(texts), 500):
+            d, s, w, _ = sentence_bags(pa.array(texts[start : start + 500], pa.large_string()))
+            of = np.repeat(lengths_to_rows(np.diff(d)), np.diff(s))
+            in_docs += np.bincount(np.unique(w * 500 + of) // 500, minlength=1 << BITS)
+            parts.append((np.diff(d), np.diff(s), w.astype(np.int32)))
         # What stands in fewer than ``least`` documents says nothing about others.
-        doc_of = np.repeat(lengths_to_rows(np.diff(doc_at)), np.diff(sent_at))
-        in_docs = np.bincount(np.unique(words * len(labels) + doc_of) // len(labels), minlength=1 << BITS)
+        doc_at, sent_at = (np.concatenate([[0], np.cumsum(np.concatenate([p[k] for p in parts]))]) for k in (0, 1))
+        words = np.concatenate([p[2] for p in parts])
         usable = (in_docs >= least).astype(np.float32)
         y = labels.astype(np.float64)
         r, seen = np.random.default_rng(seed), np.full(1 << BITS, 0.1)
