@@ -82,7 +82,8 @@ class ByteNet:
         d = ((1 / (1 + np.exp(-z)) - y) * weight / weight.sum()).astype(np.float32)
         doc = lengths_to_rows(counts)
         out = self.p["out"]
-        is_top = features == top[doc]
+        is_top = (features == top[doc]).astype(np.float32)
+        is_top /= np.add.reduceat(is_top, np.cumsum(counts) - counts, axis=0)[doc]  # equal chunks share the pull
         df = d[doc, None] * (out[:FILTERS] / counts[doc, None] + out[FILTERS:] * is_top)
         df = (df * (features > 0)).astype(np.float32)
         # Only the windows that won the pooling carry gradient.
