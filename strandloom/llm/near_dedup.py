@@ -5,9 +5,13 @@ j + r with r in [0, 1). A slot keeps its least rank. Ranks of one shingle are co
 the estimate below that of MinHash, and a document stops as soon as all its slots are filled: later ranks are larger.
 
 Documents with equal shingle sets are one class. Classes that share a band are candidates. In each shared bucket the
-members are first held against its least class only (a star), so a group of n near copies costs n comparisons, not
-n^2 / 2. Candidates that are still in different components afterwards are compared too, bucket members outside the
-bucket's largest component against the others, so that no candidate link is lost. All links are confirmed on full sets.
+members are first held against its centre only (a star), so a group of n near copies costs n comparisons, not n^2 / 2.
+The centre is the member with most company over all of its buckets: of an original and its edited copies the original.
+Candidates that are still in different components afterwards are compared too, bucket members outside the bucket's
+largest component against the others, so that no candidate link is lost. Two sets can share no more than the shingles
+that each has in common with any other set; pairs for which this is too few are not made. An edited copy that strays
+far from its group has its edits to itself, so this bound settles it without comparing it with the group. All links
+are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -108,13 +112,30 @@ def signatures(docs: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_key, text): one text for each of the classes ``wanted`` (set_key)."""
+    wanted = classes.join(wanted, "set_key").select("set_key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return texts.groupBy("set_key").agg(F.first("text").alias("text"))  # rows that are repeated in full
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(set_key, own): how many shingles of a class no other class among ``texts`` has; without a row for those with none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            h, offsets = shingle_sets(strings(batch, "text"))
+            keys = batch.column(0).take(pa.array(lengths_to_rows(np.diff(offsets))))
+            yield pa.record_batch([keys, pa.array(h.view(np.int64))], names=["set_key", "shingle"])
+
+    single = texts.mapInArrow(run, "set_key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.first("set_key").alias("set_key")).where("sets = 1")
+    return single.groupBy("set_key").agg(F.count("*").alias("own"))
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose full shingle sets are alike enough. Texts are fetched for these classes only."""
     pairs = cut(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("set_key")).union(pairs.select("v")).distinct()
-    wanted = classes.join(wanted, "set_key").select("set_key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    texts = texts.groupBy("set_key").agg(F.first("text").alias("text"))  # rows that are repeated in full
+    texts = _texts(pairs.select(F.col("u").alias("set_key")).union(pairs.select("v")).distinct(), classes, docs)
     full = pairs.join(texts.select(F.col("set_key").alias("u"), F.col("text").alias("text")), "u")
     full = full.join(texts.select(F.col("set_key").alias("v"), F.col("text").alias("other")), "v").select("u", "v", "text", "other")
 
@@ -140,9 +161,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # One representative a class: the row of its least id. Bands depend on the set alone.
     classes = cut(known.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("m"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("set_key", "m.doc_id", "m.text_hash", "n", "bands"), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("u"), F.col("n"))
-    hubs = banded.groupBy("bucket").agg(F.min(F.struct("u", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # A class has no more than BANDS buckets, which its row gathers beside the company in all of them.
+    company = banded.join(shared, "bucket").groupBy("u", "n").agg(F.sum("members").alias("company"), F.collect_list("bucket").alias("buckets"))
+    company = cut(company.select(F.explode("buckets").alias("bucket"), "u", "n", "company"), "company")
+    hubs = company.groupBy("bucket").agg(F.max(F.struct("company", "u", "n")).alias("hub"))
     # Members of buckets with company; all later steps work on these.
-    members = cut(banded.join(hubs, "bucket").select("bucket", "u", "n", F.col("hub.u").alias("v"), F.col("hub.n").alias("m")), "members")
+    members = cut(company.join(hubs, "bucket").select("bucket", "u", "n", F.col("hub.u").alias("v"), F.col("hub.n").alias("m")), "members")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT  # sets of too different sizes cannot be alike enough
     stars = cut(members.where((F.col("u") != F.col("v")) & near).groupBy("u", "v").agg(F.count("*").alias("shared")), "stars")
 
@@ -154,12 +179,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What is left: in buckets over several components, those outside the largest against all of another component.
     placed = members.join(roots.withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", "n", F.coalesce("root", "u").alias("root"))
     placed = cut(placed, "placed")
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    mixed = by_root.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"))
-    placed = placed.join(mixed, "bucket")
-    minor = placed.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root")
-    others = placed.select("bucket", F.col("u").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), (F.col("root") == F.col("top")).alias("is_top"))
-    rest = minor.join(others, "bucket").where((F.col("root") != F.col("other")) & (F.col("is_top") | (F.col("u") < F.col("v"))) & near)
+    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    mixed = by_root.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.min("least").alias("least")).where("roots > 1").select("bucket", F.col("top.root").alias("top"), "least")
+    placed = cut(placed.join(mixed, "bucket"), "mixed")
+    # A link of sets of n and m shingles needs PERCENT / (100 + PERCENT) of n + m in both, so no fewer than that among
+    # those that a set shares with any other. Sets that have too few for the smallest possible partner go at once.
+    own = _own_shingles(_texts(placed.select(F.col("u").alias("set_key")).distinct(), classes, docs)).withColumnRenamed("set_key", "u")
+    placed = placed.join(cut(own, "own"), "u", "left").withColumn("most", (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + PERCENT))
+    placed = cut(placed.where(F.col("most") >= (F.col("n") + F.greatest("least", F.col("n") * PERCENT / 100)) * PERCENT), "able")
+    minor = placed.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root", "most")
+    others = placed.select("bucket", F.col("u").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), (F.col("root") == F.col("top")).alias("is_top"), F.col("most").alias("others_most"))
+    rest = minor.join(others, "bucket").where((F.col("root") != F.col("other")) & (F.col("is_top") | (F.col("u") < F.col("v"))) & near & (F.least("most", "others_most") >= (F.col("n") + F.col("m")) * PERCENT))
     rest = rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     rest = rest.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     more = _confirm(rest, classes, docs)
