@@ -8,10 +8,11 @@ Documents with equal shingle sets are one class. Classes that share a band are c
 members are first held against its centre only (a star), so a group of n near copies costs n comparisons, not n^2 / 2.
 The centre is the member with most company over all of its buckets: of an original and its edited copies the original.
 Candidates that are still in different components afterwards are compared too, bucket members outside the bucket's
-largest component against the others, so that no candidate link is lost. Two sets can share no more than the shingles
-that each has in common with any other set; pairs for which this is too few are not made. An edited copy that strays
-far from its group has its edits to itself, so this bound settles it without comparing it with the group. All links
-are confirmed on full sets.
+largest component against the others, so that no candidate link is lost. Rare shingles, those of one set or two, spare
+most of these pairs: two sets share no more than the fewer of their other shingles, and the rare ones that only the two
+have, which are counted for each such pair. Pairs for which this is too few are not made. An edited copy that strays far
+from its group has its edits to itself, so this bound settles it without comparing it with the group. All links are
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -119,8 +120,8 @@ def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.groupBy("set_key").agg(F.first("text").alias("text"))  # rows that are repeated in full
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(set_key, own): how many shingles of a class no other class among ``texts`` has; without a row for those with none."""
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """(u, v, rare): how many shingles u and v have that no other class among ``texts`` has; u = v for those of u alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -128,8 +129,8 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
             keys = batch.column(0).take(pa.array(lengths_to_rows(np.diff(offsets))))
             yield pa.record_batch([keys, pa.array(h.view(np.int64))], names=["set_key", "shingle"])
 
-    single = texts.mapInArrow(run, "set_key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.first("set_key").alias("set_key")).where("sets = 1")
-    return single.groupBy("set_key").agg(F.count("*").alias("own"))
+    held = texts.mapInArrow(run, "set_key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set_key").alias("u"), F.max("set_key").alias("v"))
+    return cut(held.where("sets <= 2").groupBy("u", "v").agg(F.count("*").alias("rare")), "rare")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -183,13 +184,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = by_root.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.min("least").alias("least")).where("roots > 1").select("bucket", F.col("top.root").alias("top"), "least")
     placed = cut(placed.join(mixed, "bucket"), "mixed")
     # A link of sets of n and m shingles needs PERCENT / (100 + PERCENT) of n + m in both, so no fewer than that among
-    # those that a set shares with any other. Sets that have too few for the smallest possible partner go at once.
-    own = _own_shingles(_texts(placed.select(F.col("u").alias("set_key")).distinct(), classes, docs)).withColumnRenamed("set_key", "u")
-    placed = placed.join(cut(own, "own"), "u", "left").withColumn("most", (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + PERCENT))
-    placed = cut(placed.where(F.col("most") >= (F.col("n") + F.greatest("least", F.col("n") * PERCENT / 100)) * PERCENT), "able")
-    minor = placed.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root", "most")
-    others = placed.select("bucket", F.col("u").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), (F.col("root") == F.col("top")).alias("is_top"), F.col("most").alias("others_most"))
-    rest = minor.join(others, "bucket").where((F.col("root") != F.col("other")) & (F.col("is_top") | (F.col("u") < F.col("v"))) & near & (F.least("most", "others_most") >= (F.col("n") + F.col("m")) * PERCENT))
+    # those that they may share. Sets that have too few for the smallest possible partner make no pairs by buckets.
+    rare = _rare_shingles(_texts(placed.select(F.col("u").alias("set_key")).distinct(), classes, docs))
+    lost = rare.select("u", "rare").union(rare.where("u != v").select("v", "rare")).groupBy("u").agg(F.sum("rare").alias("lost"))
+    placed = cut(placed.join(lost, "u", "left").withColumn("most", (F.col("n") - F.coalesce("lost", F.lit(0))) * (100 + PERCENT)), "bounded")
+    able = cut(placed.where(F.col("most") >= (F.col("n") + F.greatest("least", F.col("n") * PERCENT / 100)) * PERCENT), "able")
+    minor = able.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root", "most")
+    theirs = [F.col("u").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("other_most")]
+    others = able.select("bucket", *theirs, (F.col("root") == F.col("top")).alias("is_top"))
+    apart, enough = F.col("root") != F.col("other"), (F.col("n") + F.col("m")) * PERCENT
+    rest = minor.join(others, "bucket").where(apart & (F.col("is_top") | (F.col("u") < F.col("v"))) & near & (F.least("most", "other_most") >= enough))
+    sets = placed.select("u", "n", "root", "most").distinct()
+    twos = rare.where("u != v").join(sets, "u").join(sets.select(*theirs), "v")
+    rest = rest.select("u", "v").union(twos.where(apart & near & (F.least("most", "other_most") + F.col("rare") * (100 + PERCENT) >= enough)).select("u", "v"))
     rest = rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     rest = rest.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     more = _confirm(rest, classes, docs)
