@@ -8,9 +8,9 @@ Documents with equal shingle sets are one class. Classes that share a band are c
 members are first held against its centre only (a star), so a group of n near copies costs n comparisons, not n^2 / 2.
 The centre is the member with most company over all of its buckets: of an original and its edited copies the original.
 Candidates that are still in different components afterwards are compared too, bucket members outside the bucket's
-largest component against the others, so that no candidate link is lost. Rare shingles, those of one set or two, spare
-most of these pairs: two sets share no more than the fewer of their other shingles, and the rare ones that only the two
-have, which are counted for each such pair. Pairs for which this is too few are not made. An edited copy that strays far
+largest component against the others, so that no candidate link is lost. Rare shingles, those of few sets, spare most
+of these pairs: two sets share no more than the fewer of their other shingles, and the rare ones that both have, which
+are counted for each such pair. Pairs for which this is too few are not made. An edited copy that strays far
 from its group has its edits to itself, so this bound settles it without comparing it with the group. All links are
 confirmed on full sets.
 """
@@ -32,6 +32,8 @@ from .text import GOLDEN, lengths_to_rows, mix, ragged, slices, split_words, str
 SHINGLE, PERCENT = 5, 75
 #: 32 bands of 4 slots: a pair at the threshold of 0.75 shares none with probability 5e-6.
 BANDS, ROWS = 32, 4
+#: Shingles of up to so many sets are rare: for each of them, the pairs of its sets are few.
+RARE = 6
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -121,7 +123,7 @@ def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(texts: DataFrame) -> DataFrame:
-    """(u, v, rare): how many shingles u and v have that no other class among ``texts`` has; u = v for those of u alone."""
+    """(sets, rare): how many shingles all of ``sets`` (a sorted array of 1 to RARE classes) and no other class among ``texts`` have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -129,8 +131,12 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
             keys = batch.column(0).take(pa.array(lengths_to_rows(np.diff(offsets))))
             yield pa.record_batch([keys, pa.array(h.view(np.int64))], names=["set_key", "shingle"])
 
-    held = texts.mapInArrow(run, "set_key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set_key").alias("u"), F.max("set_key").alias("v"))
-    return cut(held.where("sets <= 2").groupBy("u", "v").agg(F.count("*").alias("rare")), "rare")
+    held = cut(texts.mapInArrow(run, "set_key binary, shingle long"), "shingles")
+    few = held.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set_key").alias("u"), F.max("set_key").alias("v"))
+    few = cut(few.where(F.col("sets") <= RARE), "few")
+    more = held.join(few.where("sets > 2").select("shingle"), "shingle").groupBy("shingle").agg(F.sort_array(F.collect_list("set_key")).alias("sets"))
+    sets = few.where("sets <= 2").select(F.array_distinct(F.array("u", "v")).alias("sets")).union(more.select("sets"))
+    return cut(sets.groupBy("sets").agg(F.count("*").alias("rare")), "rare")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -186,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A link of sets of n and m shingles needs PERCENT / (100 + PERCENT) of n + m in both, so no fewer than that among
     # those that they may share. Sets that have too few for the smallest possible partner make no pairs by buckets.
     rare = _rare_shingles(_texts(placed.select(F.col("u").alias("set_key")).distinct(), classes, docs))
-    lost = rare.select("u", "rare").union(rare.where("u != v").select("v", "rare")).groupBy("u").agg(F.sum("rare").alias("lost"))
+    lost = rare.select(F.explode("sets").alias("u"), "rare").groupBy("u").agg(F.sum("rare").alias("lost"))
     placed = cut(placed.join(lost, "u", "left").withColumn("most", (F.col("n") - F.coalesce("lost", F.lit(0))) * (100 + PERCENT)), "bounded")
     able = cut(placed.where(F.col("most") >= (F.col("n") + F.greatest("least", F.col("n") * PERCENT / 100)) * PERCENT), "able")
     minor = able.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root", "most")
@@ -195,8 +201,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart, enough = F.col("root") != F.col("other"), (F.col("n") + F.col("m")) * PERCENT
     rest = minor.join(others, "bucket").where(apart & (F.col("is_top") | (F.col("u") < F.col("v"))) & near & (F.least("most", "other_most") >= enough))
     sets = placed.select("u", "n", "root", "most").distinct()
-    twos = rare.where("u != v").join(sets, "u").join(sets.select(*theirs), "v")
-    rest = rest.select("u", "v").union(twos.where(apart & near & (F.least("most", "other_most") + F.col("rare") * (100 + PERCENT) >= enough)).select("u", "v"))
+    # Pairs with rare shingles in common, if they are of different components.
+    few = rare.where(F.size("sets") > 1).select(F.monotonically_increasing_id().alias("id"), "sets", "rare")
+    few = cut(few, "few-sets").select("id", "rare", F.explode("sets").alias("u")).join(sets, "u").groupBy("id", "rare").agg(F.collect_list(F.struct("u", "n", "root", "most")).alias("sets"), F.count_distinct("root").alias("roots"))
+    few = few.where("roots > 1").select("id", "rare", "sets", F.explode("sets").alias("a")).select("rare", "a", F.explode("sets").alias("b"))
+    few = few.where((F.col("a.u") < F.col("b.u")) & (F.col("a.root") != F.col("b.root"))).groupBy("a", "b").agg(F.sum("rare").alias("rare"))
+    few = few.select("a.*", "rare", *[F.col(f"b.{x}").alias(y) for x, y in (("u", "v"), ("n", "m"), ("most", "other_most"))])
+    rest = rest.select("u", "v").union(few.where(near & (F.least("most", "other_most") + F.col("rare") * (100 + PERCENT) >= enough)).select("u", "v"))
     rest = rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     rest = rest.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     more = _confirm(rest, classes, docs)
