@@ -194,12 +194,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rare = _rare_shingles(_texts(placed.select(F.col("u").alias("set_key")).distinct(), classes, docs))
     lost = rare.select(F.explode("sets").alias("u"), "rare").groupBy("u").agg(F.sum("rare").alias("lost"))
     placed = cut(placed.join(lost, "u", "left").withColumn("most", (F.col("n") - F.coalesce("lost", F.lit(0))) * (100 + PERCENT)), "bounded")
-    able = cut(placed.where(F.col("most") >= (F.col("n") + F.greatest("least", F.col("n") * PERCENT / 100)) * PERCENT), "able")
-    minor = able.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root", "most")
+    able = placed.where(F.col("most") >= (F.col("n") + F.greatest("least", F.col("n") * PERCENT / 100)) * PERCENT)
+    able = able.groupBy("u", "n", "root", "most").agg(F.collect_list(F.struct("bucket", "top")).alias("in"), F.collect_list("bucket").alias("buckets"))  # BANDS at most
+    able = cut(able.select("u", "n", "root", "most", "buckets", F.explode("in").alias("in")).select("u", "n", "root", "most", "buckets", "in.*"), "able")
+    minor = able.where(F.col("root") != F.col("top")).select("bucket", "u", "n", "root", "most", "buckets")
     theirs = [F.col("u").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("other_most")]
-    others = able.select("bucket", *theirs, (F.col("root") == F.col("top")).alias("is_top"))
+    others = able.select("bucket", *theirs, F.col("buckets").alias("other_buckets"), (F.col("root") == F.col("top")).alias("is_top"))
     apart, enough = F.col("root") != F.col("other"), (F.col("n") + F.col("m")) * PERCENT
-    rest = minor.join(others, "bucket").where(apart & (F.col("is_top") | (F.col("u") < F.col("v"))) & near & (F.least("most", "other_most") >= enough))
+    once = F.col("bucket") == F.array_min(F.array_intersect("buckets", "other_buckets"))  # of all buckets that a pair shares, one makes it
+    rest = minor.join(others, "bucket").where(apart & (F.col("is_top") | (F.col("u") < F.col("v"))) & near & (F.least("most", "other_most") >= enough) & once)
     sets = placed.select("u", "n", "root", "most").distinct()
     # Pairs with rare shingles in common, if they are of different components.
     few = rare.where(F.size("sets") > 1).select(F.monotonically_increasing_id().alias("id"), "sets", "rare")
