@@ -97,6 +97,26 @@ def test_near_duplicates(docs, clashing, spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_strays(spark):
+    """A group of edited copies, of which many stray from the original, and copies of those that only stray copies resemble."""
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+
+    def edited(w, n):
+        w = list(w)
+        for i in r.sample(range(len(w)), n):
+            w[i] = r.choice(vocabulary)
+        return w
+
+    base = [r.choice(vocabulary) for _ in range(146)]
+    texts = [edited(base, r.randint(0, 9)) for _ in range(70)]
+    texts += [edited(w, r.randint(1, 5)) for w in texts[:40] for _ in range(r.randint(0, 9))]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(r.sample(texts, len(texts)))]
+    want = sorted(repr((d, n, c, d == c)) for d, n, c in brute_components(rows))
+    assert 10 < len({c for _, _, c in brute_components(rows)}) < len(rows) / 2
+    assert collect(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_super_min_hash_estimates_similarity():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 300).astype(np.uint64)
