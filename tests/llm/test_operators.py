@@ -322,6 +322,14 @@ def test_toxicity_locates_sentences(spark):
         assert "grobian" in text[int(r.doc_id)].encode()[r.worst_start : r.worst_start + r.worst_bytes].decode()
 
 
+def test_toxicity_learns_from_twelve_thousand(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.SentenceModel, "train", lambda self, texts, labels: seen.append((len(texts), len(labels))) or self)
+    docs = spark.range(16000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    toxicity.train_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert seen == [(12000, 12000)]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.net/en/a", "https://a.example.net/en", "http://x.net", "http://x.net/", "http://x.net?q/", "ftp://b.example.com/de/x#f", "http://org/fr/", "http://a.b.org/fr/x?y", "http://notexample.com/de/", "http://ads-track.example.com/p", "x://y.ads-track.example.com/", "http://net/", "http://a.net/en/://b", "http://spam-farm.example.org/fr/z"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls * 2)], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
