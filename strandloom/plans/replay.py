@@ -158,7 +158,8 @@ class Server:
     def sample(self, name: str, num_samples: int = 1, seed: int = 0) -> DataFrame:
         """``num_samples`` draws with replacement from the table as it is: draw, info, and the items' data.
 
-        Deterministic samplers return their next items; counters, times_sampled and deletions follow.
+        Deterministic samplers return their next items, each as often as ``max_times_sampled`` still allows; there are
+        fewer draws only if the whole table has fewer uses left. Counters, times_sampled and deletions follow.
         """
         t, s = self.table(name), self._states[name]
         if num_samples < 1:
@@ -167,11 +168,12 @@ class Server:
             raise Deferred(f"table {name} does not admit {num_samples} samples now")
         size = s.items.count()
         if t.sampler.deterministic:
-            each = max(1, t.max_times_sampled)
-            first = selectors.head(s.items, t.sampler, -(-num_samples // each)) if t.max_times_sampled > 0 else selectors.head(s.items, t.sampler)
-            spread = first.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit((each if t.max_times_sampled > 0 else num_samples) - 1))))
-            left = F.greatest(F.lit(0), F.lit(each) - F.col("times_sampled")) if t.max_times_sampled > 0 else F.lit(num_samples)
-            drawn = spread.where(F.col("_i") < left).select("table", ((F.col("rank") - 1) * each + F.col("_i")).cast("long").alias("draw"), "key", F.lit(1.0).alias("probability"), F.lit(size).cast("long").alias("table_size")).where(F.col("draw") < num_samples)
+            uses = F.lit(t.max_times_sampled) - F.col("times_sampled") if t.max_times_sampled > 0 else F.lit(num_samples)
+            first = selectors.head(s.items.withColumn("_uses", uses.cast("long")).where("_uses > 0"), t.sampler, num_samples if t.max_times_sampled > 0 else 1)
+            earlier = Window.partitionBy("table").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+            first = first.withColumn("_before", F.coalesce(F.sum("_uses").over(earlier), F.lit(0).cast("long"))).where(F.col("_before") < num_samples)
+            spread = first.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_uses", F.lit(num_samples) - F.col("_before")) - 1)))
+            drawn = spread.select("table", (F.col("_before") + F.col("_i")).alias("draw"), "key", F.lit(1.0).alias("probability"), F.lit(size).cast("long").alias("table_size"))
         else:
             wanted = selectors.draws(self.spark.createDataFrame([(name,)], "table string"), num_samples, seed + s.samples)
             drawn = selectors.sample(s.items, wanted, t.sampler)

@@ -142,6 +142,16 @@ def test_extension_signature_and_patterns(spark):
         server.insert("a", frame(spark, [(1, 1)]).withColumn("x", F.lit("no")))
 
 
+def test_samples_pass_over_used_items(spark):
+    server = Server(spark, [Table("a", K.Fifo(), K.Fifo(), 10, L.MinSize(1), max_times_sampled=2)])
+    server.insert("a", frame(spark, [(1, 1), (2, 1), (3, 1)]))
+    keys = lambda n: [(r["draw"], r["info"]["key"], r["info"]["times_sampled"]) for r in server.sample("a", n).orderBy("draw").collect()]
+    assert keys(1) == [(0, 1, 1)]
+    assert keys(2) == [(0, 1, 2), (1, 2, 1)]
+    assert keys(3) == [(0, 2, 2), (1, 3, 1), (2, 3, 2)]
+    assert server.items("a").count() == 0
+
+
 def test_mutations(spark):
     log = spark.createDataFrame([("t", 1, 0, 1.0, "a"), ("t", 1, 1, 2.0, "b"), ("t", 2, 2, 3.0, "c")], "table string, key long, op_seq long, priority double, d string")
     got = sorted((r["key"], r["priority"], r["d"]) for r in M.insert_or_assign(log, ("d",)).collect())
