@@ -297,6 +297,35 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.orphan_chunks(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_key")), _refs(spark, sf_dir))
 
 
+ALL_REFS_SQL = "refs AS (SELECT l_orderkey AS key, l_partkey AS chunk_key FROM lineitem)"
+HELD_REFS_SQL = "refs AS (SELECT l_orderkey AS key, l_partkey AS chunk_key FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))"
+
+
+def _all_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("chunk_key"))
+
+
+def _held_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live items are the orders of status F."""
+    held = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    return _all_refs(spark, sf_dir).join(held, "key", "left_semi")
+
+
+@query(f"WITH {ALL_REFS_SQL} SELECT chunk_key, count(DISTINCT key) AS num_items FROM refs GROUP BY 1")
+def chunk_refcount_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.reference_counts(_all_refs(spark, sf_dir))
+
+
+@query(f"WITH {HELD_REFS_SQL} SELECT p_partkey AS chunk_key FROM part WHERE p_partkey IN (SELECT chunk_key FROM refs)")
+def live_chunks_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.live_chunks(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_key")), _held_refs(spark, sf_dir))
+
+
+@query(f"WITH {HELD_REFS_SQL} SELECT p_partkey AS chunk_key FROM part WHERE p_partkey NOT IN (SELECT chunk_key FROM refs)")
+def orphan_chunks_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.orphan_chunks(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_key")), _held_refs(spark, sf_dir))
+
+
 @query('SELECT o_orderpriority AS "table", count(DISTINCT o_custkey) AS num_episodes FROM orders GROUP BY 1')
 def num_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")

@@ -33,3 +33,11 @@ def test_entry(spark):
 def test_samples_are_whole(spark):
     for name in ("seeded_prioritized_sample", "seeded_uniform_sample"):
         assert core.QUERIES[name](spark, SF).groupBy("table").count().where("count <> 500").count() == 0
+
+
+def test_references_of_all_lines(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    assert core.QUERIES["chunk_refcount_all"](spark, SF).agg({"num_items": "sum"}).first()[0] == lines.count()
+    parts = spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
+    live, orphans = (core.QUERIES[f"{x}_chunks_by_status"](spark, "/root/testdata/sf0.01").count() for x in ("live", "orphan"))
+    assert orphans > 0 and live + orphans == parts
