@@ -250,16 +250,37 @@ class Client:
             at = F.lit(self.server._seq).cast("long") + F.monotonically_increasing_id()
             self.server.insert(table, row.select("*", at.alias("key"), F.lit(float(priority)).alias("priority")))
 
+    def _number(self, items: DataFrame, order: Sequence[str]) -> DataFrame:
+        """Items with ``op_seq`` from 0 in this order, in place of the order's columns: a sort by ranges, and each range's offset."""
+        placed = self.server._settle(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop(*order))
+        part = F.shiftright("_at", 33)
+        starts, n = [], 0
+        for r in placed.groupBy(part.alias("_part")).count().orderBy("_part").collect():  # a row for each partition
+            starts.append((r["_part"], n))
+            n += r["count"]
+        offsets = self.server.spark.createDataFrame(starts, "_part long, _start long")
+        joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        return joined.withColumn("op_seq", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
+
     def write_patterns(self, steps: DataFrame, configs: Sequence[PatternConfig], stream: Sequence[str], order: Sequence[str], episode: str | None = None, end=None) -> dict[str, int]:  # noqa: ANN001
-        """Applies pattern configs to steps and inserts what they make; returns the number of new items per table."""
+        """Applies pattern configs to steps and inserts what they make; returns the number of new items per table.
+
+        A table's items are one batch, in the order of ``order``, then of stream and config.
+        """
         if not configs:
             raise ValueError("at least one config is needed")
         made: dict[str, int] = {}
-        for i, config in enumerate(configs):
-            items = apply_pattern(steps, config, stream, order, episode, end)
-            key = F.abs(F.xxhash64(F.lit(i), *stream, *order))
-            items = items.select(key.alias("key"), "priority", F.lit(0).alias("op_seq"), *config.nodes)
-            made[config.table] = made.get(config.table, 0) + self.server.insert(config.table, items)
+        for table in dict.fromkeys(c.table for c in configs):
+            items = None
+            for i, config in enumerate(configs):
+                if config.table == table:
+                    key = F.abs(F.xxhash64(F.lit(i), *stream, *order))
+                    own = apply_pattern(steps, config, stream, order, episode, end)
+                    places = [F.col(c).alias(f"_o{k}") for k, c in enumerate([*order, *stream])]
+                    own = own.select(key.alias("key"), "priority", *places, F.lit(i).alias("_config"), *config.nodes)
+                    items = own if items is None else items.unionByName(own)
+            numbered = self._number(items, [*[f"_o{k}" for k in range(len(order) + len(stream))], "_config"])
+            made[table] = self.server.insert(table, numbered)
         return made
 
     def sample(self, table: str, num_samples: int = 1, emit_timesteps: bool = False, columns: Sequence[str] = (), seed: int = 0) -> DataFrame:

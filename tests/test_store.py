@@ -152,6 +152,20 @@ def test_samples_pass_over_used_items(spark):
     assert server.items("a").count() == 0
 
 
+def test_written_patterns_keep_the_order_of_steps(spark):
+    ref = create_reference_step()
+    steps = spark.createDataFrame([(f"s{i % 2}", i, i) for i in random.Random(6).sample(range(60), 60)], "stream string, at int, v long").repartition(3)
+    for remover, want in ((K.Fifo(), range(53, 60)), (K.Lifo(), range(7)), (K.MinHeap(), range(53, 60))):
+        server = Server(spark, [Table("a", K.Fifo(), remover, 7, L.MinSize(1), max_times_sampled=1)])
+        assert Client(server).write_patterns(steps, [create_config({"x": ref["v"][-1:]}, "a")], ["stream"], ["at"]) == {"a": 60}
+        assert sorted(r["x"][0] for r in server.items("a").collect()) == list(want)
+        assert [r["x"][0] for r in server.sample("a", 7).orderBy("draw").collect()] == list(want)
+    server = Server(spark, [Table("a", K.Fifo(), K.Fifo(), 4, L.MinSize(1))])
+    both = [create_config({"x": ref["v"][-1:]}, "a"), create_config({"x": ref["v"][-2:]}, "a")]
+    assert Client(server).write_patterns(steps, both, ["stream"], ["at"]) == {"a": 118}
+    assert sorted(r["x"] for r in server.items("a").collect()) == [[56, 58], [57, 59], [58], [59]]
+
+
 def test_mutations(spark):
     log = spark.createDataFrame([("t", 1, 0, 1.0, "a"), ("t", 1, 1, 2.0, "b"), ("t", 2, 2, 3.0, "c")], "table string, key long, op_seq long, priority double, d string")
     got = sorted((r["key"], r["priority"], r["d"]) for r in M.insert_or_assign(log, ("d",)).collect())
