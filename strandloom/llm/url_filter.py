@@ -25,6 +25,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "ads-track.example.com")
 BLOCK_WORDS = 8  # 64-bit words in a block: one cache line
 PROBES = 8
+#: Code points of a listed path, without its slash, from which an entry is joined by itself and not through the filter.
+LONG = 2048
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -68,13 +70,28 @@ def hashes_of(keys: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(k) for k in keys.cast(pa.large_binary()).to_pylist()], np.uint64)
 
 
+def is_long() -> Column:
+    return F.length("key") - F.instr("key", "/") >= LONG
+
+
+def long_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """(url, key, entry) for the long entries: an equi-join on host suffix and the path's first code points, exact."""
+    cut_at = F.instr("key", "/")
+    entries = listed.where(is_long()).select("key", "entry", F.substr(F.col("key"), F.lit(1), cut_at - 1).alias("_host"), F.substr(F.col("key"), cut_at).alias("_listed"))
+    entries = entries.withColumn("_start", F.substring("_listed", 1, LONG + 1))
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    near = urls.where(F.length("path") > LONG).select("url", "path", F.substring("path", 1, LONG + 1).alias("_start"), F.explode(suffixes).alias("_host"))
+    return near.join(entries, ["_host", "_start"]).where(F.startswith("path", "_listed")).select("url", "key", "entry")
+
+
 def build_filter(listed: DataFrame, max_mb: int = 16) -> tuple[BlockedBloom, list[int]]:
     """The filter over ``listed.key``, and the distinct lengths (in code points) of the listed paths.
 
     Executors turn keys into bits and OR them; only the filter's words (at most ``max_mb``) and the path lengths (at
-    most 2048: a longer entry cannot be listed) come to the driver.
+    most 2048: longer entries are left to ``long_hits``) come to the driver.
     """
-    keys = listed.select("key").where(F.col("key").contains("/") & (F.length("key") - F.instr("key", "/") < 2048))
+    keys = listed.select("key").where(~is_long())
     bloom = BlockedBloom(keys.count(), max_mb=max_mb)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +129,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") ->
     them the longest. A key listed twice keeps the later verdict in the alphabet (``block`` after ``allow``). The join
     is made on distinct URLs, so one URL that fills a third of the table costs one row. A null URL, or one without
     ``://``, has empty host and path, fits nothing and gets the default. One row per input row; extra columns are left
-    out.
+    out. A key without ``/`` raises.
     """
     listed = listed.groupBy("key").agg(F.max(F.struct("priority", "verdict")).alias("entry"))
+    odd = listed.agg(F.count_if(~F.coalesce(F.col("key").contains("/"), F.lit(False))).alias("bad"), F.count_if(is_long()).alias("long")).first()
+    if odd["bad"]:
+        raise ValueError(f"{odd['bad']} listed keys have no /")
     bloom, lengths = build_filter(listed)
     shared = pages.sparkSession.sparkContext.broadcast((bloom, lengths))  # bounded by max_mb and 2048 lengths
 
@@ -128,7 +148,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") ->
 
     host, path = host_path(F.col("url"))
     urls = pages.select("url").where(F.col("url").isNotNull()).distinct().select("url", host.alias("host"), path.alias("path"))
-    exact = urls.mapInArrow(hits, "url string, key string").join(listed, "key")
+    exact = urls.mapInArrow(hits, "url string, key string").join(listed, "key").select("url", "key", "entry")
+    if odd["long"]:
+        exact = exact.union(long_hits(urls, listed))
     fit = F.struct(F.col("entry.priority").alias("priority"), F.length("key").alias("n"), F.col("key"), F.col("entry.verdict").alias("verdict"))
     best = exact.groupBy("url").agg(F.max(fit).alias("best"))
     judged = pages.select("page_id", "url").join(best, "url", "left")

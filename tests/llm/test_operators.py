@@ -345,6 +345,18 @@ def test_url_filter(spark):
         assert got[i] == (host, path, best[2], best[3]), u
 
 
+def test_url_filter_long_paths(spark):
+    long = "/" + "é" * 2100
+    urls = [f"http://a.x.org{long}", f"http://x.org{long}/more?q", f"http://ax.org{long}", f"http://x.org{long[:-1]}", f"http://y.org/{'p' * 2048}", f"http://y.org/{'p' * 2047}", "http://x.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    entries = [(f"x.org{long}", "block", 0), (f"x.org{long}/more", "allow", 0), (f"y.org/{'p' * 2048}", "block", 0), (f"y.org/{'p' * 2047}", "keep", 0), ("x.org/", "low", 0)]
+    listed = spark.createDataFrame(entries, "key string, verdict string, priority int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, listed).collect()}
+    assert [got[i] for i in range(7)] == ["block", "allow", "allow", "low", "block", "keep", "low"]
+    with pytest.raises(ValueError, match="no /"):
+        url_filter.filter_urls(pages, spark.createDataFrame([("x.org", "block", 0)], "key string, verdict string, priority int"))
+
+
 def test_bloom_never_misses():
     keys = url_filter.hashes_of(pa.array([f"k{i}" for i in range(5000)]))
     bloom = url_filter.BlockedBloom(5000)
