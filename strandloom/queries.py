@@ -196,6 +196,19 @@ def trajectory_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("lengths"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations)
+SELECT conv_id, string_agg(n::VARCHAR, ',' ORDER BY turn) AS lengths, coalesce(string_agg(n::VARCHAR, ',' ORDER BY turn) FILTER (idx >= 1 AND idx < 6), '') AS slice FROM c GROUP BY conv_id""")
+def trajectory_gather_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of each conversation, read from chunks of two turns, and beside them turns 1 to 5."""
+    turns = _turns(spark, sf_dir)
+    chunks = C.build_chunks(turns, ["conv_id"], "turn", "n", 2)
+    cells = C.assign_chunks(turns, ["conv_id"], "turn", "n", 2)
+    refs = cells.join(chunks.select("conv_id", "chunk_no", "chunk_key"), ["conv_id", "chunk_no"])
+    out = TR.assemble(C.merge_slices(refs, ["conv_id"], "turn"), chunks.select("chunk_key", "data"), ["conv_id"])
+    whole = F.transform("values", lambda x: x.cast("string"))
+    return out.select("conv_id", F.array_join(whole, ",").alias("lengths"), F.array_join(A.py_slice(whole, 1, 6), ",").alias("slice"))
+
+
 @query("""WITH c AS (SELECT conv_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
   lead(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS m FROM conversations)
 SELECT conv_id, (idx // 2)::INT AS stack, n::BIGINT AS a, m::BIGINT AS b FROM c WHERE m IS NOT NULL AND idx % 2 = 0""")

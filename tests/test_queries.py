@@ -41,3 +41,9 @@ def test_references_of_all_lines(spark):
     parts = spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
     live, orphans = (core.QUERIES[f"{x}_chunks_by_status"](spark, "/root/testdata/sf0.01").count() for x in ("live", "orphan"))
     assert orphans > 0 and live + orphans == parts
+
+
+def test_whole_trajectories(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").count()
+    gathered = core.QUERIES["trajectory_gather_whole"](spark, SF).select("lengths").collect()
+    assert sum(len(r["lengths"].split(",")) for r in gathered) == turns
