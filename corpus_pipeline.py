@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.near_dedup import near_duplicates
+from strandloom.llm.near_dedup import grouped_rows
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.quality_cnn import score_quality, train_quality
 from strandloom.llm.quality_rules import cutoffs, judge, measures
@@ -35,10 +35,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; rows that repeat one id and text count as one document."""
-    stay = cut(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_stays")).agg(F.count("*").alias("n")), "pipeline-kept")
-    mine = F.col("doc_id").eqNullSafe(F.col("_stays"))
-    once, repeated = stay.where("n = 1").select("_stays"), stay.where("n > 1").select("_stays")
+    """One document of each group stays; rows that repeat one id and text count as one document.
+
+    Of a group's texts under its least id the one of the least hash stays. Texts without words are groups of their own.
+    """
+    kept = grouped_rows(docs).where("kept").groupBy("root", F.col("doc_id").alias("_stays"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("n"))
+    own = F.when(F.col("root").isNull(), F.col("_hash"))
+    stay = kept.groupBy("root", own.alias("own"), "_stays").agg(F.min(F.struct("_hash", "n")).alias("m"))
+    stay = cut(stay.select("_stays", "m._hash", "m.n"), "pipeline-kept")
+    mine = F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.xxhash64("text") == F.col("_hash"))
+    once, repeated = stay.where("n = 1").select("_stays", "_hash"), stay.where("n > 1").select("_stays", "_hash")
     return docs.join(small_enough(once), mine, "left_semi").union(docs.join(small_enough(repeated), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

@@ -163,6 +163,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part, gets its group's least id (null if it is alone) and is kept only if that is null. Repeated rows get equal
     results. Extra columns are ignored; an empty table gives no rows.
     """
+    return grouped_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with each row's text_hash and the root of its group, null for a text that is linked with nothing
+    because it has no words."""
     rows = cut(signatures(docs), "signatures")
     known = rows.where(F.col("set_key").isNotNull())
     # One representative a class: the row of its least id. Bands depend on the set alone.
@@ -219,9 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     grouped = cut(grouped, "grouped")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = grouped.join(least, "root").select(F.col("set_key"), "component_id")
-    out = known.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "n_shingles", "component_id")
-    empty = rows.where(F.col("set_key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_set = grouped.join(least, "root").select(F.col("set_key"), "component_id", "root")
+    out = known.select("doc_id", "text_hash", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "text_hash", "n_shingles", "component_id", "root")
+    empty = rows.where(F.col("set_key").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -384,6 +384,17 @@ def test_sharding(docs, clashing, spark):
     assert sum(a[k] != b[k] for k in a) < 0.15 * len(a)
 
 
+def test_pipeline_near_copies_of_one_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    text, other, third = " ".join(words), " ".join(f"v{i}" for i in range(200)), " ".join(f"u{i}" for i in range(200))
+    rows = [(1, text), (1, text + " end"), (1, text), (2, text + " fin"), (1, other), (3, ""), (3, "!"), (3, ""), (None, third), (None, third + " end"), (None, other.upper() + third)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    alike = lambda d, start: sum(r["doc_id"] == d and r["text"].startswith(start) for r in got)
+    assert (alike(1, text), alike(2, text), alike(1, other), alike(None, third), alike(None, other.upper())) == (1, 0, 1, 1, 1)
+    assert sorted(r["text"] for r in got if r["doc_id"] == 3) == ["", "!"] and len(got) == 6
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t, *_ in IDS if i < 44]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
