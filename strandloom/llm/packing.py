@@ -1,15 +1,19 @@
 """Operator 7: best-fit packing of tokenized documents into sequences of at most ``capacity`` tokens.
 
-Bounded-space online best-fit: a fixed number of bins is open at a time, held by their free space with a bitset over
-the free spaces in use. A piece goes to the open bin with the least free space that holds it; where none does, a bin is
-opened, and if too many are open the fullest closes first. Pieces of full length are sequences of their own.
-
-Rows are dealt over packers of some ``rows_per_packer`` each, a packer sees its pieces in a fixed order and holds its
-open bins only: a lost executor's packers are run again with the same result, and no packer grows with the input.
+Bounded-space online best-fit: pieces are placed for good in the order in which they come. A fixed number of bins is
+open at a time, held by their free space with a bitset over the free spaces in use. A piece goes to the open bin with
+the least free space that holds it; where none does, a bin is opened, and if too many are open the fullest closes first.
+Pieces of full length are sequences of their own.
+
+Rows are dealt over packers of some ``rows_per_packer`` each; a packer sees its pieces in the order of the written table
+of pieces and holds its open bins only: a lost executor's packers are run again with the same result, and no packer
+grows with the input.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,22 +27,40 @@ from . import tokenizer_files
 from .shared import cut, spare
 from .text import ragged, slices, split_words, strings
 
-CAPACITY, OPEN_BINS, ROWS_PER_PACKER = 4096, 4096, 10_000
+CAPACITY, OPEN_BINS, ROWS_PER_PACKER = 4096, 256, 50_000
 CACHE_WORDS = 400_000
 
 
+#: Parts of a tokenizer file for which a text's ids are those of its words in order, whatever the case of A-Z. Fixed
+#: values: they are compared with the file's.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether the tokenizer lower-cases, drops white space before it merges anything, and cuts between letters and marks."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0]
+    return norm.get("normalizers") == NORMALIZERS and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+
+
 class WordTokens:
-    """Token ids by word, for a tokenizer whose tokens never cross ASCII white space.
+    """Token ids of texts.
 
-    The tokenizer turns every white space into a cut between words before it merges anything, so that a text's ids are
-    the ids of its words in order. It lower-cases too, and cuts between an ASCII letter and a full stop or comma; doing
-    both first leaves fewer distinct words. Each of them is encoded once by the library, in lists.
+    Where the tokenizer's file says that its tokens never cross white space (see :func:`splits_at_blanks`), a text's ids
+    are the ids of its words in order, and each distinct word is encoded once by the library, in lists. It lower-cases
+    too, and cuts between an ASCII letter and a full stop or comma; doing both first leaves fewer distinct words. Texts
+    that spell an added token, in whatever case, are left as they are. With any other file whole texts are encoded.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = splits_at_blanks(spec)
+        self.added = "(?i)" + "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"])
         self.reset()
 
     def reset(self) -> None:
@@ -60,9 +82,15 @@ class WordTokens:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and offsets."""
+        if not self.by_word:
+            whole = [np.array([*e.ids, end_id], np.int32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int32), *whole]), np.concatenate([[0], np.cumsum([len(w) for w in whole])]).astype(np.int64)
         if len(self.memo) > CACHE_WORDS:
             self.reset()
-        offsets, codes, vocabulary = split_words(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,]\s)", r"\1 \2"))
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,]\s)", r"\1 \2")
+        if self.added != "(?i)":
+            plain = pc.if_else(pc.match_substring_regex(texts, self.added), texts, plain)
+        offsets, codes, vocabulary = split_words(plain)
         words = vocabulary.to_pylist()
         if new := [w for w in words if w not in self.memo]:
             self._add(new)
@@ -88,7 +116,8 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's tokens, cut where longer than ``capacity``.
 
-    A null or blank text has the end id alone. One or more rows per input row; extra columns are ignored.
+    A null or blank text has the end id alone. One or more rows per input row, for repeated rows and null ids too; extra
+    columns are ignored; an empty table gives no rows. A very long text is encoded by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +183,17 @@ class OpenBins:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rows_per_packer: int = ROWS_PER_PACKER) -> DataFrame:
-    """Adds sequence_id and offset to rows with ``length``. Any table of pieces will do; an empty one gives none.
+    """Adds sequence_id and offset (with underscores after a name that is taken) to rows with ``length``.
 
-    Each packer takes long pieces first: short ones then fill what long ones leave.
+    Any table of pieces will do, with nulls and repeated rows in its other columns: each row is placed by itself. A
+    null or negative length raises; an empty table gives no rows. Rows longer than ``capacity`` are no pieces: cut them
+    before (see :func:`pieces`).
     """
-    parts = cut(parts, "packing-pieces")
+    n = F.col("length")
+    parts = cut(parts.withColumn("length", F.when(n.isNull() | (n < 0), F.raise_error(F.lit("a piece needs a length"))).otherwise(n)), "packing-pieces")
     names = parts.columns
-    at, packer = names.index("length"), spare(parts, "packer")
+    at, packer, arrival = names.index("length"), spare(parts, "packer"), spare(parts, "arrival")
+    added = [spare(parts, c) for c in ("sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, current = OpenBins(capacity, open_bins), None
@@ -171,13 +204,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
                     bins, current = OpenBins(capacity, open_bins), group
                 number[i], offset[i] = bins.place(length)
                 number[i] += group << 32
-            yield pa.record_batch([*batch.columns[:-1], pa.array(number), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            yield pa.record_batch([*batch.columns[:-2], pa.array(number), pa.array(offset)], names=[*names, *added])
 
     # ``parts`` is a written table: a row's number in it, and so its packer, is the same in every attempt of a task.
     packers = -(-max(1, parts.count()) // rows_per_packer)
-    dealt = parts.withColumn(packer, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(packers)))
-    dealt = dealt.repartition(packer).sortWithinPartitions(packer, F.col("length").desc(), *[c for c in names if c not in ("length", "ids")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
+    dealt = parts.withColumn(arrival, F.monotonically_increasing_id())
+    dealt = dealt.withColumn(packer, F.pmod(F.xxhash64(arrival), F.lit(packers))).select(*names, packer, arrival)
+    dealt = dealt.repartition(packer).sortWithinPartitions(packer, arrival)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in parts.schema.fields) + "`{}` long, `{}` long".format(*added)
     return dealt.mapInArrow(run, schema)
 
 

@@ -5,7 +5,8 @@ embeddings; each filter's largest response in a chunk is its feature there (max-
 the mean and the maximum of its chunks' features, and a logistic unit combines them into one probability.
 
 The network is trained here, by Adam on a bounded sample of labelled documents (``max_labelled`` documents, chosen by a
-hash of their id); scoring is one pass over whole texts on the executors and shuffles nothing.
+hash of their id, each of them whole, however long); scoring is one pass over whole texts on the executors and shuffles
+nothing. Chunks are laid out some thousand at a time: beside its text, a document costs the pooled features of its chunks.
 """
 
 from __future__ import annotations
@@ -19,25 +20,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import spare
-from .text import lengths_to_rows, ragged, slices, strings
+from .text import byte_data, lengths_to_rows, ragged, slices, strings
 
 CHUNK, HOP = 256, 224
 WIDTH, STRIDE = 8, 4
 EMBED, FILTERS = 8, 32
 PAD = 256
-#: Bounds of the training sample: documents, and bytes of one of them (longer ones are left out of it whole).
-MAX_LABELLED, MAX_BYTES = 3000, 20_000
+#: Bound of the training sample, in documents.
+MAX_LABELLED = 3000
+BLOCK = 2048
 
 
-def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping chunks of all texts as rows of byte numbers (PAD fills the last), and the number of chunks of each."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    n = 1 + np.maximum(0, -(-(sizes - CHUNK) // HOP))
-    starts = np.repeat(np.cumsum(sizes) - sizes, n) + ragged(np.zeros(len(n), np.int64), n) * HOP
-    ends = np.repeat(np.cumsum(sizes), n)
-    data = np.concatenate([np.frombuffer(b"".join(texts), np.uint8).astype(np.int16), np.full(CHUNK, PAD, np.int16)])
-    at = starts[:, None] + np.arange(CHUNK)
-    return np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)], PAD), n
+class Chunks:
+    """Overlapping chunks of texts that lie one after the other in ``data`` (bytes, text i from offsets[i] to offsets[i + 1])."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = data if len(data) else np.zeros(1, np.uint8)
+        sizes = np.diff(offsets)
+        self.counts = 1 + np.maximum(0, -(-(sizes - CHUNK) // HOP))
+        self.starts = np.repeat(offsets[:-1], self.counts) + ragged(np.zeros(len(sizes), np.int64), self.counts) * HOP
+        self.ends = np.repeat(offsets[1:], self.counts)
+
+    @staticmethod
+    def of(texts: list[bytes]) -> Chunks:
+        return Chunks(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def cells(self, chunk: np.ndarray | slice, at: np.ndarray) -> np.ndarray:
+        """Byte numbers at places ``at`` of these chunks; PAD beyond a text's end."""
+        place = self.starts[chunk][:, None] + at
+        return np.where(place < self.ends[chunk][:, None], self.data[np.minimum(place, len(self.data) - 1)].astype(np.int16), np.int16(PAD))
+
+    def rows(self, start: int, end: int) -> np.ndarray:
+        return self.cells(slice(start, end), np.arange(CHUNK))
 
 
 @dataclass
@@ -70,14 +87,23 @@ class ByteNet:
         top = np.maximum.reduceat(features, starts, axis=0)
         return mean @ self.p["out"][:FILTERS] + top @ self.p["out"][FILTERS:] + self.p["offset"], mean, top
 
-    def scores(self, texts: list[bytes], block: int = 2048) -> np.ndarray:
-        rows, counts = chunks(texts)
-        features = np.concatenate([self.responses(rows[i : i + block])[0] for i in range(0, len(rows), block)]) if len(rows) else np.zeros((0, FILTERS), np.float32)
-        return 1 / (1 + np.exp(-self.logits(features, counts)[0].astype(np.float64))) if len(texts) else np.zeros(0)
+    def pooled(self, parts: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """``responses`` of all chunks, made a block at a time."""
+        features, best = np.empty((len(parts), FILTERS), np.float32), np.empty((len(parts), FILTERS), np.uint8)
+        for i in range(0, len(parts), BLOCK):
+            features[i : i + BLOCK], best[i : i + BLOCK] = self.responses(parts.rows(i, i + BLOCK))
+        return features, best
+
+    def scores(self, texts: list[bytes] | Chunks) -> np.ndarray:
+        parts = texts if isinstance(texts, Chunks) else Chunks.of(texts)
+        if not len(parts):
+            return np.zeros(0)
+        return 1 / (1 + np.exp(-self.logits(self.pooled(parts)[0], parts.counts)[0].astype(np.float64)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        rows, counts = chunks(texts)
-        features, best = self.responses(rows)
+        parts = Chunks.of(texts)
+        counts = parts.counts
+        features, best = self.pooled(parts)
         z, mean, top = self.logits(features, counts)
         d = ((1 / (1 + np.exp(-z)) - y) * weight / weight.sum()).astype(np.float32)
         doc = lengths_to_rows(counts)
@@ -89,8 +115,7 @@ class ByteNet:
         # Only the windows that won the pooling carry gradient.
         chunk, f = np.nonzero(df)
         g = df[chunk, f]
-        at = best[chunk, f][:, None] * STRIDE + np.arange(WIDTH)
-        won = rows[chunk[:, None], at]
+        won = parts.cells(chunk, best[chunk, f].astype(np.int64)[:, None] * STRIDE + np.arange(WIDTH))
         inputs = self.p["embed"][won].reshape(len(chunk), -1)
         gf = np.zeros((FILTERS, WIDTH * EMBED), np.float32)
         order = np.argsort(f, kind="stable")
@@ -131,37 +156,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_labelled: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``max_labelled`` labelled texts of at most ``max_bytes`` bytes each, by a hash of the id, in a fixed order."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_labelled: int) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """At most ``max_labelled`` labelled texts, whole, chosen by a hash of the id, in a fixed order."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
-    rows = chosen.join(texts, "doc_id").select("doc_id", "y", "text").orderBy("doc_id", "text").limit(max_labelled).toPandas()
-    return [t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["y"].to_numpy(np.int64)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = chosen.join(texts, "doc_id").select("doc_id", "y", "text").orderBy("doc_id", "text").limit(max_labelled).select("y", "text").toArrow()
+    return rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("y").to_numpy().astype(np.int64)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> ByteNet:
-    texts, y = training_sample(docs, labels, "quality", ~held_out(F.col("doc_id")), max_labelled, max_bytes)
-    return ByteNet().train(texts, y)
+def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ByteNet:
+    """The network for these labels; without any it is untrained, and still scores."""
+    texts, y = training_sample(docs, labels, "quality", ~held_out(F.col("doc_id")), max_labelled)
+    return ByteNet().train(texts.cast(pa.large_binary()).to_pylist(), y)
 
 
 def score_quality(docs: DataFrame, net: ByteNet, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if not given) and ``score``. Only the text's bytes are read; a null text is an empty one.
+    """The columns ``keep`` (all, if not given) and ``score`` (with underscores after it if a kept column has that name).
 
-    One row per input row.
+    Only the text's bytes are read; a null or empty text has one chunk of padding and its score. One row per input row,
+    repeated rows alike; an empty table gives no rows. Very long texts are scored whole.
     """
     keep = docs.columns if keep is None else keep
-    read = docs.select(*keep, F.col("text").alias(spare(docs, "_scored_text")))
-    column = read.columns[-1]
+    column, score = spare(docs, "_scored_text"), spare(docs.select(*keep), "score")
+    read = docs.select(*keep, F.col("text").alias(column))
     shared = docs.sparkSession.sparkContext.broadcast(net.p)  # some thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteNet(p=shared.value)
         for batch in slices(batches, column, 512 << 10):
-            texts = strings(batch, column).cast(pa.large_binary()).to_pylist()
-            yield pa.record_batch([*batch.columns[:-1], pa.array(own.scores(texts), pa.float64())], names=[*keep, "score"])
+            parts = Chunks(*byte_data(strings(batch, column)))
+            yield pa.record_batch([*batch.columns[:-1], pa.array(own.scores(parts), pa.float64())], names=[*keep, score])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in read.schema.fields[:-1]) + "score double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in read.schema.fields[:-1]) + f"`{score}` double"
     return read.mapInArrow(run, schema)
 
 

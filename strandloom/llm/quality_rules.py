@@ -1,16 +1,20 @@
 """Operator 5: quality rules whose cutoffs are chosen with a guarantee on false rejections. DataFrame functions only.
 
-Every rule compares one ratio of a document with a cutoff. For each stratum (language) and rule a ladder of cutoffs is
-walked from the loosest to the strictest. At each step the exact binomial bound of Clopper and Pearson is held against
-the labelled good documents of the stratum; the walk ends at the first cutoff that cannot be certified, and the last
-certified one is used. A walk in a fixed order needs no correction along the ladder (fixed-sequence testing); over
-strata and rules the level is divided (Bonferroni). With confidence 1 - ``delta`` no stratum loses more than ``alpha``
-of its good documents to all rules together. A stratum with too few labels certifies nothing and rejects nothing.
+Every rule compares one ratio of a document with a cutoff; a rung is one cutoff for every rule. For each stratum
+(language) the rungs are walked from the loosest to the strictest. At each rung the exact binomial bound of Clopper and
+Pearson is held against the labelled good documents of the stratum that any of the rules would reject; the walk ends at
+the first rung that cannot be certified, and the last certified one is used. A walk in a fixed order needs no correction
+along the ladder (fixed-sequence testing); over strata the level is divided (Bonferroni). With confidence 1 - ``delta``
+no stratum loses more than ``alpha`` of its good documents to all rules together. The holdout has each text once, as
+copies are no independent draws. With the defaults a stratum certifies something from 90 good documents on, if none of
+them is rejected; one with fewer certifies nothing and rejects nothing.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +26,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: A fixed list, so that the table of cutoffs is bounded; any other language shares one stratum.
 STRATA = ("en", "de", "fr", "es")
-#: Rule -> cutoffs from the loosest to the strictest; a document is rejected where its ratio is above the cutoff.
+#: Rule -> cutoffs by rung, from the loosest to the strictest; a document is rejected where its ratio is above the cutoff.
 LADDERS = {
     "symbol_ratio": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06),
     "duplicate_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
     "repeat_ratio": (0.48, 0.45, 0.42, 0.39, 0.36, 0.33, 0.3, 0.27, 0.24, 0.2),
     "capital_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25),
 }
+RUNGS = 10
 ALPHA, DELTA = 0.05, 0.05
 
 
@@ -60,7 +65,7 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, the base counts and the ratios of every whole text. A null text counts as an empty one.
+    """The columns ``keep``, the base counts and the ratios of every whole text, and ``text_hash``. A null text counts as an empty one.
 
     Words that stand in a repeated window are counted inside each row, in O(n log n): the windows' 64-bit hashes are
     sorted with their places, places with an equal neighbour are kept, and sorted places p cover min(3, next p - p).
@@ -75,10 +80,11 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         lines.alias("_lines"),
+        F.xxhash64(text).alias("text_hash"),
     )
     w = F.col("_words")
     d = d.select(
-        *keep, "_words", "n_symbols", "n_capitals",
+        *keep, "_words", "n_symbols", "n_capitals", "text_hash",
         F.when(F.element_at(w, 1) == "", F.lit(0)).otherwise(F.size(w)).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -105,7 +111,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         _div(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"),
         _div(F.col("n_dup_lines"), F.col("n_lines")).alias("duplicate_line_ratio"),
         _div(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_ratio"),
-        _div(F.col("n_capitals"), F.col("word_chars")).alias("capital_ratio"),
+        _div(F.col("n_capitals"), F.col("word_chars")).alias("capital_ratio"), "text_hash",
     )
 
 
@@ -114,37 +120,35 @@ def stratum(lang: Column) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum that has a certified cutoff, one column per rule (null: none certified).
+    """One row per stratum with labels: ``n`` good documents held out, the last certified ``rung`` (null: none), and one
+    column per rule, its cutoff there.
 
-    ``measured`` needs doc_id, lang and the ratios; ``labels`` doc_id and quality. The holdout is every labelled good
-    document that passes the base rules. At most len(STRATA) + 1 rows come out, whatever the input.
+    ``measured`` needs doc_id, lang, text_hash and the ratios; ``labels`` doc_id and quality. The holdout is every
+    labelled good document that passes the base rules, each text once. At most len(STRATA) + 1 rows come out, whatever
+    the input.
     """
-    each, level = alpha / len(LADDERS), delta / (len(LADDERS) * (len(STRATA) + 1))
+    level = delta / (len(STRATA) + 1)
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_label")).where(F.col("_label").isNotNull()).distinct()
     held = measured.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_label"), "left_semi")
-    held = held.groupBy(stratum(F.col("lang")).alias("stratum")).agg(
-        F.count("*").alias("n"),
-        *[F.count(F.when(F.col(r) > c, 1)).alias(f"{r}_{i}") for r, ladder in LADDERS.items() for i, c in enumerate(ladder)],
-    )
-    steps = held.select("stratum", "n", F.inline(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k"))
-        for r, ladder in LADDERS.items() for i, c in enumerate(ladder)
-    ])))
-    passed = F.when(F.col("k") <= F.col("n") * each, binomial_tail(F.col("k"), F.col("n"), each) <= level).otherwise(F.lit(False))
-    walked = steps.withColumn("passed", passed).groupBy("stratum", "rule").agg(
-        F.min(F.when(~F.col("passed"), F.col("step"))).alias("stopped"),
-        F.collect_list(F.struct("step", "cutoff")).alias("ladder"),
-    )
-    last = F.expr("element_at(sort_array(filter(ladder, x -> stopped IS NULL OR x.step < stopped)), -1).cutoff")
-    some = F.expr("exists(ladder, x -> stopped IS NULL OR x.step < stopped)")
-    return walked.withColumn("cutoff", F.when(some, last)).groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in LADDERS]
-    )
+    held = held.withColumn("stratum", stratum(F.col("lang"))).dropDuplicates(["stratum", "text_hash"])
+
+    def rejected(i: int) -> Column:
+        return reduce(or_, [F.col(r) > ladder[i] for r, ladder in LADDERS.items()])
+
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(rejected(i), 1)).alias(f"k_{i}") for i in range(RUNGS)])
+    rungs = counts.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(i).alias("rung"), F.col(f"k_{i}").alias("k")) for i in range(RUNGS)])))
+    passed = F.when(F.col("k") <= F.col("n") * alpha, binomial_tail(F.col("k"), F.col("n"), alpha) <= level).otherwise(F.lit(False))
+    stopped = F.coalesce(F.min(F.when(~F.col("passed"), F.col("rung"))), F.lit(RUNGS))
+    walked = rungs.withColumn("passed", passed).groupBy("stratum", "n").agg((stopped - 1).alias("rung"))
+    walked = walked.withColumn("rung", F.when(F.col("rung") >= 0, F.col("rung")))
+    at = {r: F.get(F.array(*map(F.lit, ladder)), F.col("rung")) for r, ladder in LADDERS.items()}
+    return walked.select("stratum", "n", "rung", *[c.alias(f"max_{r}") for r, c in at.items()])
 
 
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds ``kept`` and ``failed_rules``. ``chosen`` has a proven bound of rows (see :func:`cutoffs`), so it is broadcast."""
     s = F.col("_stratum")
+    chosen = chosen.select("stratum", *[f"max_{r}" for r in LADDERS])
     d = measured.withColumn("_stratum", stratum(F.col("lang"))).join(F.broadcast(chosen), s == F.col("stratum"), "left")
     failed = F.array_compact(F.array(
         F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in LADDERS]

@@ -26,6 +26,15 @@ def strings(batch: pa.RecordBatch, column: str) -> pa.Array:
     return found.take(pa.array(np.arange(len(found))))
 
 
+def byte_data(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in one array, and offsets; ``texts`` as :func:`strings` gives them. Nothing is copied."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8), offsets
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches between rows so that each holds about ``limit`` bytes of text (one longer text stays whole)."""
     for batch in batches:

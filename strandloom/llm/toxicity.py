@@ -4,7 +4,11 @@ A document is a bag of sentences. A sentence's score is a logistic function of i
 noisy-or of its sentences, 1 - prod(1 - p): one offending sentence is enough. Only documents are labelled: the gradient
 of the noisy-or tells the sentences of a toxic document apart, so that the trained sentence scores locate the offence.
 
-Training runs on a bounded sample of labelled documents; scoring is one pass over whole texts and shuffles nothing.
+A document's worst sentence counts in full, any other only by what its score has above FLOOR: however many harmless
+sentences a text has, they do not add up. Training keeps the small scores in, as they are what it starts from.
+
+Training runs on a bounded sample of labelled documents, each of them whole; scoring is one pass over whole texts and
+shuffles nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from .quality_cnn import training_sample
 from .text import lengths_to_rows, slices, split_words, strings, word_hashes
 
 BITS = 18
-#: Bounds of the training sample: documents, and bytes of one of them (longer ones are left out of it whole).
-MAX_LABELLED, MAX_BYTES = 12_000, 20_000
-#: Logit of a sentence in which nothing is known; low enough that a thousand such sentences stay harmless.
+#: Bound of the training sample, in documents.
+MAX_LABELLED = 12_000
+#: Logit of a sentence in which nothing is known.
 START = -9.0
+#: Scores up to here, but for the worst sentence's, count as 0 in a document's score; those above are spread over 0 to 1.
+FLOOR = 0.02
 ENDS = "[.!?\n]"
 
 
@@ -65,7 +71,17 @@ class SentenceModel:
         kept = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9)))])
         return -np.expm1(kept[offsets[1:]] - kept[offsets[:-1]])
 
-    def train(self, texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.5, l1: float = 0.02, least: int = 4, seed: int = 8) -> SentenceModel:
+    @classmethod
+    def document_scores(cls, p: np.ndarray, offsets: np.ndarray, floor: float = FLOOR) -> np.ndarray:
+        """The noisy-or of each text's worst sentence, in full, and of what the others have above the floor."""
+        counted = np.maximum(0, p - floor) / (1 - floor)
+        if len(offsets) > 1:
+            order = np.lexsort((-p, lengths_to_rows(np.diff(offsets))))
+            worst = order[offsets[:-1]]  # every text has a sentence
+            counted[worst] = p[worst]
+        return cls.noisy_or(counted, offsets)
+
+    def train(self, texts: pa.LargeStringArray, labels: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.5, l1: float = 0.02, least: int = 4, seed: int = 8) -> SentenceModel:
         """Adagrad with a soft threshold that keeps rare words at zero; five passes at least, more over small samples.
 
         Deterministic for a given sample.
@@ -74,7 +90,7 @@ class SentenceModel:
             return self
         parts, in_docs = [], np.zeros(1 << BITS, np.int64)
         for start in range(0, len(texts), 500):
-            d, s, w, _ = sentence_bags(pa.array(texts[start : start + 500], pa.large_string()))
+            d, s, w, _ = sentence_bags(texts.slice(start, 500).take(pa.array(np.arange(min(500, len(texts) - start)))))
             of = np.repeat(lengths_to_rows(np.diff(d)), np.diff(s))
             in_docs += np.bincount(np.unique(w * 500 + of) // 500, minlength=1 << BITS)
             parts.append((np.diff(d), np.diff(s), w.astype(np.int32)))
@@ -112,17 +128,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> SentenceModel:
-    texts, y = training_sample(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_labelled, max_bytes)
-    return SentenceModel().train([t.decode("utf-8", "replace") for t in texts], y)
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> SentenceModel:
+    """The model for these labels; without any every sentence is harmless."""
+    return SentenceModel().train(*training_sample(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_labelled))
 
 
 def score_toxicity(docs: DataFrame, model: SentenceModel, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, n_sentences, n_toxic, worst_start, worst_bytes, worst_score).
 
     ``worst_*`` give the most offending sentence: the byte where it starts in the text's UTF-8 form, its length with
-    its end mark, its own score. A null text is an empty one: one empty sentence. One row per input row; extra columns
-    are ignored.
+    its end mark, its own score. A null text is an empty one: one empty sentence. One row per input row,
+    repeated rows alike; extra columns are ignored; an empty table gives no rows. Very long texts are scored whole, and
+    harmless sentences never add up to a toxic text.
     """
     weights = model.weights
     used = np.flatnonzero(weights)
@@ -141,7 +158,7 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, threshold: float = 0.5
             worst = order[doc_at[:-1]]
             toxic = np.bincount(doc, weights=p >= threshold, minlength=len(n)).astype(np.int64)
             yield pa.record_batch(
-                [batch.column(0), pa.array(own.noisy_or(p, doc_at)), pa.array(n), pa.array(toxic), pa.array(begins[worst] - begins[doc_at[:-1]]), pa.array(sizes[worst]), pa.array(p[worst])],
+                [batch.column(0), pa.array(own.document_scores(p, doc_at)), pa.array(n), pa.array(toxic), pa.array(begins[worst] - begins[doc_at[:-1]]), pa.array(sizes[worst]), pa.array(p[worst])],
                 names=["doc_id", "score", "n_sentences", "n_toxic", "worst_start", "worst_bytes", "worst_score"],
             )
 
