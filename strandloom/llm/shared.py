@@ -47,6 +47,27 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_enough(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``keys`` with a broadcast hint if a count shows it to have at most ``most`` rows; else it is joined by a shuffle."""
+#: Bytes that a hint may broadcast, and what a row costs in the joined table beside its own bytes.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 40
+
+
+def small_enough(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """``keys`` (a written table of rows of some ``row_bytes``) with a broadcast hint if a count shows that they take at
+    most BROADCAST_BYTES; else they are joined by a shuffle."""
+    most = BROADCAST_BYTES // (row_bytes + ROW_BYTES)
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, floor: int = 500, most_hot: int = 20_000) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, a written table with one row for each key and in ``n`` how many rows have it.
+
+    Rows of the keys that have more than 1 / ``most_hot`` of all rows (of which there are fewer than ``most_hot``, so
+    that they can be broadcast) stay where they are; the others are shuffled. No task gets a hot key's rows.
+    """
+    found = keyed.agg(F.sum(n).alias("total"), F.max(n).alias("top")).first()
+    limit = max(floor, (found["total"] or 0) // most_hot)
+    if (found["top"] or 0) <= limit:
+        return rows.join(keyed.drop(n), on)
+    hot = F.broadcast(keyed.where(F.col(n) > limit).drop(n))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(n) <= limit).drop(n), on)
+    return rows.join(hot, on).unionByName(cold)

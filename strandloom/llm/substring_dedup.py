@@ -1,14 +1,19 @@
 """Operator 9: removal of passages that an earlier document has, found by recompression.
 
 Each round gives names to runs of equal symbols and to pairs of a left and a right symbol, the sides being drawn from
-the symbols' names. A name is a hash of what it stands for and of the round, so that all tasks agree on it without an
-exchange: equal substrings get equal symbols in their interior, wherever they stand. With every symbol goes its
-context, the words that decided it; a window that holds a symbol's whole context has that symbol wherever it occurs.
-
-After the last round a symbol stands for some six words. Spark groups the symbols of all documents by name. A window
-can occur in another document only if all symbols that it decides do (shared symbols reveal repeats), so windows are
-named one by one only there, and grouped by that name to verify the repeat. Copies of a whole word sequence are settled
-as one. Windows that decide no symbol (within very long runs) are all named, so that nothing is missed.
+the symbols' names, so that equal substrings get equal symbols in their interior, wherever they stand. With every symbol
+goes its context, the words that decided it; a window that holds a symbol's whole context has that symbol wherever it
+occurs.
+
+The lower rounds run inside the scan: a name is a hash of what it stands for and of the round, on which all tasks agree
+without an exchange. They leave symbols of some six words. The upper rounds are Spark's: a table of all names of the
+round, over all documents, says which are shared and between which ids; it is joined back, windows that decide a symbol
+of no other document are out, and what is left makes the next round's runs and pairs. Shared high-level symbols reveal
+where repeats can be.
+
+Windows that are left are named one by one, by 128 bits from two independent hashes of their words, and grouped by that
+name to verify the repeat: no symbol's name decides a removal. Copies of a whole word sequence are settled as one.
+Windows that decide no symbol (within very long runs) are all named, so that nothing is missed.
 """
 
 from __future__ import annotations
@@ -23,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, small_enough, spare
+from .shared import cut, join_hot, small_enough, spare
 from .text import GOLDEN, lengths_to_rows, mix, ragged, slices, split_words, strings, word_hashes
 
 WINDOW = 50
-#: Rounds of naming, and those of them that name runs as well as pairs.
-ROUNDS, RUN_ROUNDS = 6, (0, 3)
+#: Rounds of naming inside the scan, all rounds, and those of them that name runs as well as pairs.
+ROUNDS, ALL_ROUNDS, RUN_ROUNDS = 6, 8, (0, 3, 6)
 
 
 def recompress(names: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,12 +41,14 @@ def recompress(names: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) ->
 
     A document's ends decide symbols too, but no window can hold them: there the context reaches outside.
     """
-    n = np.diff(offsets)
-    doc = lengths_to_rows(n)
     lo = np.arange(len(names))
-    hi = lo + 1
+    return name_rounds(names, lengths_to_rows(np.diff(offsets)), lo, lo + 1, offsets, range(rounds))
+
+
+def name_rounds(names: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, offsets: np.ndarray, rounds: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """These rounds over the symbols at hand. ``offsets`` are those of the documents' words."""
     first, last = offsets[:-1], offsets[1:]
-    for r in range(rounds):
+    for r in rounds:
         if not len(names):
             break
         seed = np.uint64((r + 1) * int(GOLDEN) % 2**64)
@@ -90,8 +97,8 @@ def symbol_ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, offsets: np.n
     return at, a, np.maximum(a, b)
 
 
-def window_names(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit name and a 32-bit check for the ``window`` words from each place on (meaningless where they overrun)."""
+def window_names(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A 64-bit name for the ``window`` words (by their hashes) from each place on, meaningless where they overrun."""
     power, size, total, done = words, 1, None, 0
     while size <= window:
         if window & size:
@@ -100,12 +107,13 @@ def window_names(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, n
             done += size
         shifted = np.concatenate([power[size:], np.zeros(min(size, len(power)), np.uint64)])[: len(words)]
         power, size = mix(power * np.uint64(3) + shifted), size * 2
-    return mix(total).view(np.int64), (mix(total ^ GOLDEN) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return mix(total).view(np.int64)
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, *seeds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets, and for each seed an own 64-bit hash of every word."""
     offsets, codes, vocabulary = split_words(texts)
-    return offsets, word_hashes(vocabulary, 9)[codes] if len(vocabulary) else np.zeros(0, np.uint64)
+    return offsets, [word_hashes(vocabulary, s)[codes] if len(vocabulary) else np.zeros(0, np.uint64) for s in seeds]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -113,84 +121,157 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
 
 
-def _symbols(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, sequence, n_words, n_open, names): the symbols of each document.
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
+
+
+def _ranges(mask: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """For each stretch of ``mask`` (one of ``offsets``) where it is set: starts and ends, in turn, counted from the stretch's start."""
+    rows = lengths_to_rows(np.diff(offsets))
+    new = np.ones(len(mask), bool)
+    new[1:] = rows[1:] != rows[:-1]
+    before, after = np.concatenate([[False], mask[:-1]]) & ~new, np.concatenate([mask[1:], [False]]) & ~np.append(new[1:], True)
+    starts, ends = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
+    flat = np.stack([starts - offsets[rows[starts]], ends - offsets[rows[starts]]], axis=1).astype(np.int32).ravel()
+    return _lists(flat, 2 * np.bincount(rows[starts], minlength=len(offsets) - 1))
+
+
+def _mask(ranges: pa.ListArray, offsets: np.ndarray) -> np.ndarray:
+    """The mask that :func:`_ranges` made its lists from."""
+    flat = np.asarray(ranges.flatten(), np.int64).reshape(-1, 2)
+    rows = lengths_to_rows(np.asarray(ranges.value_lengths().fill_null(0), np.int64) // 2)
+    depth = np.zeros(int(offsets[-1]) + 1, np.int64)
+    np.add.at(depth, flat[:, 0] + offsets[rows], 1)
+    np.add.at(depth, flat[:, 1] + offsets[rows], -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+STATE = "doc_id long, text_hash long, n_words long, names array<long>, lo array<int>, width array<int>, later array<int>, earlier array<int>"
+
+
+def _state(ids: list[pa.Array], n: np.ndarray, doc: np.ndarray, names: np.ndarray, lo: np.ndarray, hi: np.ndarray, offsets: np.ndarray, later: pa.ListArray, earlier: pa.ListArray, more: dict | None = None) -> pa.RecordBatch:
+    """Rows of documents between two rounds: symbols (name 0: in no window that counts), their contexts, and the windows
+    that can have a source (``later``) or be one (``earlier``)."""
+    listed = np.bincount(doc, minlength=len(n))
+    columns = {"doc_id": ids[0], "text_hash": ids[1], "n_words": pa.array(n), "names": _lists(names.view(np.int64), listed), "lo": _lists((lo - offsets[doc]).astype(np.int32), listed), "width": _lists((hi - lo).astype(np.int32), listed), "later": later, "earlier": earlier}
+    columns |= more or {}
+    return pa.record_batch(list(columns.values()), names=list(columns))
 
-    ``sequence`` names the whole word sequence; ``n_open`` counts windows that decide no symbol.
-    """
+
+def _symbols(docs: DataFrame, window: int) -> DataFrame:
+    """STATE after the rounds inside the scan, and ``sequence``, which names the whole word sequence, for documents of at least ``window`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            offsets, words = _words(strings(batch, "text"))
+            offsets, (words,) = _words(strings(batch, "text"), 9)
+            long = np.diff(offsets) >= window
+            kept = np.repeat(long, np.diff(offsets))
+            batch, words = batch.filter(pa.array(long)), words[kept]
+            offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[long])])
             names, doc, lo, hi = recompress(words, offsets)
-            at, a, b = symbol_ranges(doc, lo, hi, offsets, window)
-            n = np.diff(offsets)
-            windows = np.maximum(0, n - window + 1)
-            n_open = np.bincount(lengths_to_rows(windows), weights=a == b, minlength=len(n)).astype(np.int64)
             inside = (lo >= offsets[doc]) & (hi <= offsets[doc + 1]) & (hi - lo <= window)  # others are in no window
-            listed = np.bincount(doc, minlength=len(n))
-            # Unlisted symbols keep their place as 0, so that a symbol's number is its place in the list.
-            shown = np.where(inside, names | np.uint64(1), np.uint64(0)).view(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(listed)])
+            n = np.diff(offsets)
             whole = [xxhash.xxh3_128_digest(words[x:y].tobytes()) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array(whole, pa.binary()), pa.array(n), pa.array(n_open), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shown))],
-                names=["doc_id", "text_hash", "sequence", "n_words", "n_open", "names"],
-            )
+            every = np.concatenate([[0], np.cumsum(n - window + 1)])
+            windows = _ranges(np.ones(int(every[-1]), bool), every)
+            yield _state([batch.column(0), batch.column(2)], n, doc, np.where(inside, names | np.uint64(1), np.uint64(0)), lo, hi, offsets, windows, windows, {"sequence": pa.array(whole, pa.binary())})
+
+    return docs.mapInArrow(run, STATE + ", sequence binary")
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, sequence binary, n_words long, n_open long, names array<long>")
+
+def _next_round(state: DataFrame, marks: DataFrame, r: int, window: int) -> DataFrame:
+    """STATE after round ``r``, for documents with windows left. ``marks`` lists each document's names that lower
+    (``has_lower``) or higher ids (``has_higher``) have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column(2), np.int64)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            listed = np.asarray(batch.column(3).value_lengths(), np.int64)
+            names, doc = np.asarray(batch.column(3).flatten(), np.int64).view(np.uint64), lengths_to_rows(listed)
+            lo = np.asarray(batch.column(4).flatten(), np.int64) + offsets[doc]
+            hi = lo + np.asarray(batch.column(5).flatten(), np.int64)
+            at, a, b = symbol_ranges(doc, lo, hi, offsets, window)
+            every = np.concatenate([[0], np.cumsum(n - window + 1)])
+            here = mix(names + doc.astype(np.uint64) * GOLDEN)
+            left, shared = [], np.zeros(len(names), bool)
+            for windows, marked in ((6, 8), (7, 9)):
+                lists = batch.column(marked)
+                of = lengths_to_rows(np.asarray(lists.value_lengths().fill_null(0), np.int64))
+                fine = np.isin(here, mix(np.asarray(lists.flatten(), np.int64).view(np.uint64) + of.astype(np.uint64) * GOLDEN))
+                missing = np.concatenate([[0], np.cumsum(~fine & (names != 0))])
+                left.append(_mask(batch.column(windows), every) & (missing[b] == missing[a]))  # all symbols that the window decides occur there
+                shared |= fine
+            some = np.concatenate([[0], np.cumsum(left[0] | left[1])])
+            keep = some[every[1:]] > some[every[:-1]]
+            names, doc, lo, hi = name_rounds(names, doc, lo, hi, offsets, range(r, r + 1))
+            # Only symbols that a window still left decides count from here on: windows from hi - window to lo.
+            first = np.clip(hi - window - offsets[doc] + every[doc], every[doc], every[doc + 1])
+            last = np.clip(lo - offsets[doc] + 1 + every[doc], every[doc], every[doc + 1])
+            inside = (lo >= offsets[doc]) & (hi <= offsets[doc + 1]) & (hi - lo <= window) & (some[np.maximum(last, first)] > some[first])
+            ok, rows = keep[doc], pa.array(keep)
+            kept_n = n[keep]
+            place = np.cumsum(keep) - 1
+            shift = np.concatenate([[0], np.cumsum(kept_n)])
+            moved = place[doc[ok]]
+            by = (shift[moved] - offsets[doc[ok]]) if len(moved) else np.zeros(0, np.int64)
+            yield _state([batch.column(0).filter(rows), batch.column(1).filter(rows)], kept_n, moved, np.where(inside, names | np.uint64(1), np.uint64(0))[ok], lo[ok] + by, hi[ok] + by, shift, *(_ranges(x, every).filter(rows) for x in left))
+
+    columns = [f.strip().split(" ")[0] for f in STATE.split(",")]
+    joined = state.select(*columns).join(marks, ["doc_id", "text_hash"], "left")
+    return joined.mapInArrow(run, STATE)
+
+
+def _marks(state: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, has_lower, has_higher): by the table of this round's names over all documents."""
+    listed = state.select("doc_id", "text_hash", F.explode(F.array_distinct("names")).alias("name")).where("name <> 0")
+    names = listed.groupBy("name").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count("*").alias("n"))
+    names = cut(names.where("lowest < highest"), "names")
+    seen = join_hot(listed, names, ["name"], "n")
+    lower, higher = F.when(F.col("lowest") < F.col("doc_id"), F.col("name")), F.when(F.col("highest") > F.col("doc_id"), F.col("name"))
+    return seen.groupBy("doc_id", "text_hash").agg(F.collect_list(lower).alias("has_lower"), F.collect_list(higher).alias("has_higher"))  # no longer than the document
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, starts): the first words of the windows to remove; null ``starts`` stands for all of them."""
     docs = _keyed(docs).where(F.col("doc_id").isNotNull())
-    parsed = cut(_symbols(docs, window).where(F.col("n_words") >= window).dropDuplicates(["doc_id", "text_hash"]), "symbols")
-
-    firsts = parsed.groupBy("sequence").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = parsed.select("doc_id", "text_hash", "sequence").join(firsts, "sequence").where(F.col("doc_id") > F.col("first")).select("doc_id", "text_hash")
-    copies = cut(copies, "copies")
-
-    own = F.xxhash64("sequence").alias("own")
-    listed = parsed.select("doc_id", "text_hash", own, F.posexplode("names").alias("place", "name")).where("name <> 0")
-    shared = listed.groupBy("name").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.min("own").alias("a"), F.max("own").alias("b"))
-    shared = shared.where((F.col("a") != F.col("b")) & (F.col("lowest") < F.col("highest"))).select("name", "lowest", "highest")
-    seen = listed.join(shared, "name").select(
-        "doc_id", "text_hash", (F.col("place") * 4 + F.when(F.col("lowest") < F.col("doc_id"), 2).otherwise(0) + F.when(F.col("highest") > F.col("doc_id"), 1).otherwise(0)).alias("mark")
-    )
-    marks = seen.groupBy("doc_id", "text_hash").agg(F.collect_list("mark").alias("marks"))  # no longer than the document
-    open_docs = parsed.where("n_open > 0").select("doc_id", "text_hash", F.lit(None).cast("array<int>").alias("marks"))
-    marks = marks.unionByName(open_docs).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(F.coalesce("marks", F.expr("array()")))).alias("marks"))
-    marks = cut(marks.join(copies, ["doc_id", "text_hash"], "left_anti"), "marks")
+    parsed = cut(_symbols(docs, window).dropDuplicates(["doc_id", "text_hash"]), "symbols")
+
+    firsts = cut(parsed.groupBy("sequence").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copies = join_hot(parsed.select("doc_id", "text_hash", "sequence"), firsts, ["sequence"], "n").where(F.col("doc_id") > F.col("first"))
+    copies = cut(copies.select("doc_id", "text_hash"), "copies")
+
+    state = parsed.join(small_enough(copies), ["doc_id", "text_hash"], "left_anti")
+    for r in range(ROUNDS, ALL_ROUNDS):
+        state = cut(_next_round(state, _marks(state), r, window), "round")
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            offsets, words = _words(strings(batch, "text"))
-            _, doc, lo, hi = recompress(words, offsets)
-            at, a, b = symbol_ranges(doc, lo, hi, offsets, window)
-            marked = batch.column(3)
-            flat = np.asarray(marked.flatten(), np.int64)
-            per_doc = np.asarray(marked.value_lengths().fill_null(0), np.int64)
-            base = np.searchsorted(doc, np.arange(batch.num_rows))
-            place = np.repeat(base, per_doc) + (flat >> 2)
-            alone = {}
-            for bit in (2, 1):
-                fine = np.zeros(len(doc), bool)
-                fine[place[(flat & bit) > 0]] = True
-                missing = np.concatenate([[0], np.cumsum(~fine)])
-                alone[bit] = missing[b] == missing[a]  # all symbols that the window decides occur there
-            take = alone[2] | alone[1]
-            h, check = window_names(words, window)
-            at, row = at[take], lengths_to_rows(np.maximum(0, np.diff(offsets) - window + 1))[take]
-            yield pa.record_batch(
-                [pa.array(h[at]), pa.array(check[at]), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(at - offsets[row], pa.int32()), pa.array(alone[2][take]), pa.array(alone[1][take])],
-                names=["h", "check", "doc_id", "text_hash", "start", "later", "earlier"],
-            )
-
-    texts = rows_of(docs, marks, "left_semi").dropDuplicates(["doc_id", "text_hash"]).join(marks, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "marks")
-    windows = cut(texts.mapInArrow(name_windows, "h long, check int, doc_id long, text_hash long, start int, later boolean, earlier boolean"), "windows")
-    least = windows.where("earlier").groupBy("h", "check").agg(F.min("doc_id").alias("source"))
-    repeats = windows.where("later").select("h", "check", "doc_id", "text_hash", "start").join(least, ["h", "check"]).where(F.col("source") < F.col("doc_id"))
-    starts = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"))  # no longer than the document
+            offsets, seeded = _words(strings(batch, "text"), 9, 10)
+            every = np.concatenate([[0], np.cumsum(np.diff(offsets) - window + 1)])
+            later, earlier = (_mask(batch.column(k), every) for k in (3, 4))
+            row = lengths_to_rows(np.diff(every))
+            take = np.flatnonzero(later | earlier)
+            row, start = row[take], take - every[row[take]]
+            h, g = (window_names(words, window)[offsets[row] + start] for words in seeded)
+            # A document's windows of one name are one row.
+            order = np.lexsort((start, g, h, row))
+            h, g, row, start, take = h[order], g[order], row[order], start[order], take[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+            begins = np.flatnonzero(new)
+            either = [np.maximum.reduceat(x[take], begins) if len(begins) else np.zeros(0, bool) for x in (later, earlier)]
+            starts = _lists(start.astype(np.int32), np.diff(np.append(begins, len(h))))
+            rows = pa.array(row[begins])
+            yield pa.record_batch([pa.array(h[begins]), pa.array(g[begins]), batch.column(0).take(rows), batch.column(2).take(rows), starts, *map(pa.array, either)], names=["h", "g", "doc_id", "text_hash", "starts", "later", "earlier"])
+
+    wanted = state.select("doc_id", "text_hash", "later", "earlier")
+    texts = rows_of(docs, wanted, "left_semi").dropDuplicates(["doc_id", "text_hash"]).join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "later", "earlier")
+    windows = cut(texts.mapInArrow(name_windows, "h long, g long, doc_id long, text_hash long, starts array<int>, later boolean, earlier boolean"), "windows")
+    least = windows.groupBy("h", "g").agg(F.min(F.when(F.col("earlier"), F.col("doc_id"))).alias("source"), F.max(F.when(F.col("later"), F.col("doc_id"))).alias("last"), F.count_if("later").alias("n"))
+    least = cut(least.where("source < last").drop("last"), "sources")
+    repeats = join_hot(windows.where("later").select("h", "g", "doc_id", "text_hash", "starts"), least, ["h", "g"], "n").where(F.col("source") < F.col("doc_id"))
+    starts = repeats.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # no longer than the document
     return cut(starts.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))), "repeats")
 
 

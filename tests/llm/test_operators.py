@@ -267,8 +267,8 @@ def test_binomial_bound(spark):
 
 def test_cutoffs_keep_the_promise(spark):
     r = random.Random(7)
-    rows = [(i, "en", False, r.random() * 0.03 if i % 4 else 0.3, 0.0, 0.0, 0.0) for i in range(4000)]
-    measured = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, symbol_ratio double, duplicate_line_ratio double, repeat_ratio double, capital_ratio double")
+    rows = [(i, i, "en", False, r.random() * 0.03 if i % 4 else 0.3, 0.0, 0.0, 0.0) for i in range(4000)]
+    measured = spark.createDataFrame(rows, "doc_id long, text_hash long, lang string, base_failed boolean, symbol_ratio double, duplicate_line_ratio double, repeat_ratio double, capital_ratio double")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(3000)], "doc_id long, quality int")
     judged = quality_rules.judge(measured, quality_rules.cutoffs(measured, labels))
     assert judged.where("doc_id % 4 > 0 AND NOT kept").count() == 0
