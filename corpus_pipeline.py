@@ -11,7 +11,7 @@ from strandloom.llm.near_dedup import grouped_rows
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.quality_cnn import score_quality, train_quality
 from strandloom.llm.quality_rules import cutoffs, judge, measures
-from strandloom.llm.shared import cut, small_enough
+from strandloom.llm.shared import cut, small_enough, spread
 from strandloom.llm.substring_dedup import remove_repeats
 
 #: A document goes if the classifier finds it likelier bad than good.
@@ -72,7 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

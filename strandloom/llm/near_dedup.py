@@ -5,7 +5,8 @@ j + r with r in [0, 1). A slot keeps its least rank. Ranks of one shingle are co
 the estimate below that of MinHash, and a document stops as soon as all its slots are filled: later ranks are larger.
 
 Documents with equal shingle sets are one class. Classes that share a band are candidates. In each shared bucket the
-members are first held against its centre only (a star), so a group of n near copies costs n comparisons, not n^2 / 2.
+members are first held against its centre only (a star), so a group of n near copies costs n comparisons for each centre
+that its buckets have, not n^2 / 2.
 The centre is the member with most company over all of its buckets: of an original and its edited copies the original.
 Candidates that are still in different components afterwards are compared too, bucket members outside the bucket's
 largest component against the others, so that no candidate link is lost. Rare shingles, those of few sets, spare most
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, join_hot, spread
 from .text import GOLDEN, lengths_to_rows, mix, ragged, slices, split_words, strings, word_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -139,12 +140,30 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
     return cut(sets.groupBy("sets").agg(F.count("*").alias("rare")), "rare")
 
 
+def _beside(rows: DataFrame, pairs: DataFrame, texts: DataFrame, side: str, other: str, name: str, floor: int = 200, most_hot: int = 20_000) -> DataFrame:
+    """``rows``, which are those of ``pairs`` (a written table), with the text of class ``side`` as column ``name``.
+
+    Where a class has more than ``floor`` pairs (the centre of a large group) its text is repeated for parts of them, so
+    that no task gets all; repeated texts are no more than one for ``floor`` pairs. Fewer than ``most_hot`` classes have
+    more than 1 / ``most_hot`` of all pairs, which is what is broadcast.
+    """
+    held = pairs.groupBy(F.col(side).alias("_key")).agg(F.count("*").alias("_n"))
+    found = held.agg(F.sum("_n").alias("total"), F.max("_n").alias("top")).first()
+    limit = max(floor, (found["total"] or 0) // most_hot)
+    texts = texts.select(F.col("set_key").alias(side), F.col("text").alias(name))
+    if (found["top"] or 0) <= limit:
+        return rows.join(texts, side)
+    hot = F.broadcast(held.where(F.col("_n") > limit).select(F.col("_key").alias(side), F.ceil(F.col("_n") / limit).alias("_parts")))
+    part = F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1)))
+    dealt = rows.join(hot, side, "left").withColumn("_part", part).drop("_parts")
+    copies = texts.join(hot, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [side, "_part"]).drop("_part")
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose full shingle sets are alike enough. Texts are fetched for these classes only."""
-    pairs = cut(pairs, "pairs")
+    """Those of the pairs (u, v; a written table) whose full shingle sets are alike enough. Texts are fetched for these classes only."""
     texts = _texts(pairs.select(F.col("u").alias("set_key")).union(pairs.select("v")).distinct(), classes, docs)
-    full = pairs.join(texts.select(F.col("set_key").alias("u"), F.col("text").alias("text")), "u")
-    full = full.join(texts.select(F.col("set_key").alias("v"), F.col("text").alias("other")), "v").select("u", "v", "text", "other")
+    full = _beside(_beside(pairs, pairs, texts, "u", "v", "text"), pairs, texts, "v", "u", "other").select("u", "v", "text", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -172,29 +191,28 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
     rows = cut(signatures(docs), "signatures")
     known = rows.where(F.col("set_key").isNotNull())
     # One representative a class: the row of its least id. Bands depend on the set alone.
-    classes = cut(known.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("m"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("set_key", "m.doc_id", "m.text_hash", "n", "bands"), "classes")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("m")
+    classes = known.groupBy("set_key").agg(least_row, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    classes = cut(classes.select("set_key", "m.doc_id", "m.text_hash", "n", "bands", "rows"), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("u"), F.col("n"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     # A class has no more than BANDS buckets, which its row gathers beside the company in all of them.
-    company = banded.join(shared, "bucket").groupBy("u", "n").agg(F.sum("members").alias("company"), F.collect_list("bucket").alias("buckets"))
+    company = join_hot(banded, shared.withColumn("size", F.col("members")), ["bucket"], "size").groupBy("u", "n").agg(F.sum("members").alias("company"), F.collect_list("bucket").alias("buckets"))
     company = cut(company.select(F.explode("buckets").alias("bucket"), "u", "n", "company"), "company")
-    hubs = company.groupBy("bucket").agg(F.max(F.struct("company", "u", "n")).alias("hub"))
+    hubs = cut(company.groupBy("bucket").agg(F.max(F.struct("company", "u", "n")).alias("hub"), F.count("*").alias("size")).select("bucket", F.col("hub.u").alias("v"), F.col("hub.n").alias("m"), "size"), "hubs")
     # Members of buckets with company; all later steps work on these.
-    members = cut(company.join(hubs, "bucket").select("bucket", "u", "n", F.col("hub.u").alias("v"), F.col("hub.n").alias("m")), "members")
+    members = cut(join_hot(company, hubs, ["bucket"], "size").select("bucket", "u", "n", "v", "m"), "members")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT  # sets of too different sizes cannot be alike enough
-    stars = cut(members.where((F.col("u") != F.col("v")) & near).groupBy("u", "v").agg(F.count("*").alias("shared")), "stars")
-
-    first = stars.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
-    links = _confirm(first, classes, docs)
-    roots = components(links)
-    links = links.union(_confirm(_apart(stars.select("u", "v").join(first, ["u", "v"], "left_anti"), roots), classes, docs))
+    stars = cut(members.where((F.col("u") != F.col("v")) & near).select("u", "v").distinct(), "stars")
+    links = _confirm(stars, classes, docs)
     roots = components(links)
     # What is left: in buckets over several components, those outside the largest against all of another component.
     placed = members.join(roots.withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", "n", F.coalesce("root", "u").alias("root"))
     placed = cut(placed, "placed")
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.min("n").alias("least"))
-    mixed = by_root.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.min("least").alias("least")).where("roots > 1").select("bucket", F.col("top.root").alias("top"), "least")
-    placed = cut(placed.join(mixed, "bucket"), "mixed")
+    mixed = by_root.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.min("least").alias("least"), F.sum("size").alias("size"))
+    mixed = cut(mixed.where("roots > 1").select("bucket", F.col("top.root").alias("top"), "least", "size"), "mixed-buckets")
+    placed = cut(join_hot(placed, mixed, ["bucket"], "size"), "mixed")
     # A link of sets of n and m shingles needs PERCENT / (100 + PERCENT) of n + m in both, so no fewer than that among
     # those that they may share. Sets that have too few for the smallest possible partner make no pairs by buckets.
     rare = _rare_shingles(_texts(placed.select(F.col("u").alias("set_key")).distinct(), classes, docs))
@@ -219,24 +237,18 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
     rest = rest.select("u", "v").union(few.where(near & (F.least("most", "other_most") + F.col("rare") * (100 + PERCENT) >= enough)).select("u", "v"))
     rest = rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     rest = rest.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = _confirm(rest, classes, docs)
-    roots = components(links.union(more))
+    more = _confirm(cut(rest, "rest"), classes, docs)
+    if more.limit(1).count():
+        roots = components(links.union(more))
 
-    grouped = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    grouped = classes.select("set_key", "doc_id", "rows").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     grouped = cut(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = grouped.join(least, "root").select(F.col("set_key"), "component_id", "root")
-    out = known.select("doc_id", "text_hash", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "text_hash", "n_shingles", "component_id", "root")
+    least = cut(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "roots")
+    of_set = cut(join_hot(grouped, least, ["root"], "size").select("set_key", "component_id", "root", "rows"), "of-sets")
+    out = join_hot(known.select("doc_id", "text_hash", "n_shingles", "set_key"), of_set, ["set_key"], "rows").select("doc_id", "text_hash", "n_shingles", "component_id", "root")
     empty = rows.where(F.col("set_key").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of the pairs that no chain of links joins yet."""
-    a = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    b = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    return pairs.join(a, "u", "left").join(b, "v", "left").where(~F.coalesce("ru", "u").eqNullSafe(F.coalesce("rv", "v"))).select("u", "v")
-
-
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokenizer_files
-from .shared import cut, spare
+from .shared import cut, spare, spread
 from .text import ragged, slices, split_words, strings
 
 CAPACITY, OPEN_BINS, ROWS_PER_PACKER = 4096, 256, 50_000
@@ -220,4 +220,4 @@ def pack_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import spare
+from .shared import spare, spread
 from .text import byte_data, lengths_to_rows, ragged, slices, strings
 
 CHUNK, HOP = 256, 224
@@ -195,5 +195,5 @@ def score_quality(docs: DataFrame, net: ByteNet, keep: list[str] | None = None)
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = score_quality(docs, net, ["doc_id"])
+    rows = score_quality(spread(docs), net, ["doc_id"])
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

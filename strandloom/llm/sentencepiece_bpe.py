@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import tokenizer_files
+from .shared import spread
 from .text import lengths_to_rows, ragged, slices, strings
 
 SPACE = "▁"
@@ -330,7 +331,8 @@ def model(model_file: str) -> PieceModel:
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, ids, decoded): token ids with begin and end, and the text that they decode to.
 
-    One row per input row; a null text is an empty one (two ids). Extra columns are ignored.
+    One row per input row, repeated rows and null ids too; a null or empty text has two ids. Extra columns are ignored;
+    an empty table gives no rows. A very long text is encoded whole, by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,4 +361,4 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_files.path("piece_bpe_32k.model"))
+    return digest_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), tokenizer_files.path("piece_bpe_32k.model"))

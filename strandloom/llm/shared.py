@@ -31,6 +31,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of a table whose files make fewer parts than there are cores (one small file, say), dealt over all cores.
+
+    For queries whose work per row is heavy. A table of many parts stays as it is and is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan.select(F.spark_partition_id().alias("part")).distinct().count()  # reads no column
+    return scan.repartition(cores) if 0 < parts < cores else scan
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes every table that :func:`cut` wrote in this application. Call it once the results are stored."""
     jvm = spark.sparkContext._jvm

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, join_hot, small_enough, spare
+from .shared import cut, join_hot, small_enough, spare, spread
 from .text import GOLDEN, lengths_to_rows, mix, ragged, slices, split_words, strings, word_hashes
 
 WINDOW = 50
@@ -332,4 +332,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
+    return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), texts=False)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_cnn import training_sample
+from .shared import spread
 from .text import lengths_to_rows, slices, split_words, strings, word_hashes
 
 BITS = 18
@@ -167,5 +168,5 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, threshold: float = 0.5
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = score_toxicity(spread(docs), train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_bytes", "worst_score")
