@@ -50,6 +50,16 @@ def column_length(slices: Column) -> Column:
     return F.aggregate(slices, F.lit(0).cast("long"), lambda n, s: n + s["length"])
 
 
+def column_offset(slices: Column) -> Column:
+    """Where a column's first slice starts in its chunk; null for a column without slices."""
+    return F.get(slices, F.lit(0))["offset"]
+
+
+def require_cells(values: Column) -> Column:
+    """The column; an error where a cell is missing, because it has left the history or was never set."""
+    return F.when(F.exists(values, lambda x: x.isNull()), F.raise_error(F.lit("a column refers to cells that are missing"))).otherwise(values)
+
+
 def chunk_keys(columns: Column) -> Column:
     """Distinct chunk keys of a flat trajectory, in the order first seen."""
     return F.array_distinct(F.flatten(F.transform(columns, lambda c: F.transform(c["slices"], lambda s: s["chunk_key"]))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,8 +51,10 @@ def SampleToInsertRatio(samples_per_insert: float, min_size_to_sample: int, erro
         low, high = centre - error_buffer, centre + error_buffer
     if high - low < 2 * max(1.0, samples_per_insert):
         raise ValueError("error_buffer is too small: the table would block")
-    if high < samples_per_insert * min_size_to_sample or low > samples_per_insert * min_size_to_sample:
-        raise ValueError("the bounds must hold samples_per_insert * min_size_to_sample")
+    if high < samples_per_insert * min_size_to_sample:
+        warnings.warn("inserts will wait before the minimum size is reached: the upper bound lies below samples_per_insert * min_size_to_sample", stacklevel=2)
+    if low > samples_per_insert * min_size_to_sample:
+        warnings.warn("samples will wait beyond the minimum size: the lower bound lies above samples_per_insert * min_size_to_sample", stacklevel=2)
     return RateLimiter(samples_per_insert, min_size_to_sample, low, high)
 
 
@@ -104,7 +107,7 @@ def limiter_state(ops: DataFrame, limiter: RateLimiter, keys: tuple[str, ...] =
 
 
 def queue_replay(ops: DataFrame, keys: tuple[str, ...] = ("table",), order: str = "op_seq") -> DataFrame:
-    """(keys, sample op, key): what an unbounded queue of items sampled once gives to each sample of an admitted log.
+    """(keys, sample op, key): what a queue of items sampled once gives to each sample of an admitted log (see :func:`admit`).
 
     The k-th sample gets the k-th insert: both are numbered and joined.
     """

@@ -45,6 +45,11 @@ def insert_on_sample(items: DataFrame, draws: DataFrame, target: str) -> DataFra
     return rest.withColumns({"table": F.lit(target), "times_sampled": F.lit(1).cast("long"), "update_seq": F.col("insert_seq")})
 
 
+def get_items(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """The items with these (table, key); unknown ones are ignored. Use ``limit`` for any n items."""
+    return items.join(keys.select("table", "key").distinct(), ["table", "key"], "left_semi")
+
+
 def episode_counts(refs: DataFrame) -> DataFrame:
     """(table, num_episodes): episodes that live items refer to. ``refs``: table, key, episode_id."""
     return refs.select("table", "episode_id").distinct().groupBy("table").agg(F.count("*").alias("num_episodes"))

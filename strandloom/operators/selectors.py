@@ -93,6 +93,11 @@ def importance_weights(sampled: DataFrame, beta: float) -> DataFrame:
     return sampled.withColumn("weight", F.pow(F.col("table_size") * F.col("probability"), F.lit(-float(beta))))
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    """A bucket by 32 bits of the key's md5, which any engine can make."""
+    return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
 def draws(tables: DataFrame, num_samples: int, seed: int) -> DataFrame:
     """(table, draw, u): ``num_samples`` uniform numbers in [0, 1) per table, the same in every run.
 
@@ -114,7 +119,7 @@ def sample(items: DataFrame, wanted: DataFrame, selector: Selector, buckets: int
         chosen = head(items, selector).join(items.groupBy("table").agg(F.count("*").alias("table_size")), "table")
         return wanted.join(chosen, "table").select("table", "draw", "key", F.lit(1.0).alias("probability"), "table_size")
     weight = F.lit(1.0) if selector.kind == "uniform" else _weight(selector.exponent)
-    rows = items.select("table", "key", weight.alias("w"), F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"))
+    rows = items.select("table", "key", weight.alias("w"), bucket_of(F.col("key"), buckets).alias("bucket"))
     totals = rows.groupBy("table").agg(F.sum("w").alias("total"), F.count("*").alias("n"))
     # A table whose weights are all zero is drawn from uniformly.
     rows = rows.join(totals, "table").withColumn("w", F.when(F.col("total") > 0, F.col("w")).otherwise(F.lit(1.0)))

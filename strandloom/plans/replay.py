@@ -1,14 +1,13 @@
 """The replay store: tables of items with a sampler, a remover, sizes and a rate limit, over DataFrames.
 
-A :class:`Server` holds a DataFrame of items per table and one of chunks; every call returns or replaces DataFrames and
-leaves their evaluation to Spark. :class:`Client` has the calls of users. Operations are applied in batches: a refused
+A :class:`Server` holds a DataFrame of items per table, with their data columns; every call returns or replaces
+DataFrames and leaves their evaluation to Spark. :class:`Client` has the calls of users. Operations are applied in batches: a refused
 batch raises :class:`Deferred`, which names the limit, and can be tried again.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
@@ -21,13 +20,50 @@ from strandloom.operators import mutations, selectors
 from strandloom.operators.patterns import PatternConfig, apply_pattern
 from strandloom.operators.selectors import Selector
 from strandloom.operators.trajectory import check_signature, explode_timesteps
-from strandloom.sources.checkpoint import Checkpointer
+from strandloom.sources.checkpoint import Checkpointer, shared_folder
 
 
 class Deferred(RuntimeError):
     """The rate limit does not admit this operation now."""
 
 
+class TableExtension:
+    """Hooks of a table, to be overridden; each gets a DataFrame of the items concerned. Any callable of (event, items) will do too."""
+
+    def on_insert(self, items: DataFrame) -> None: ...
+
+    def on_delete(self, items: DataFrame) -> None: ...
+
+    def on_update(self, items: DataFrame) -> None: ...
+
+    def on_sample(self, items: DataFrame) -> None: ...
+
+    def on_reset(self, items: DataFrame) -> None: ...
+
+    def __call__(self, event: str, items: DataFrame) -> None:
+        getattr(self, f"on_{event}")(items)
+
+
+@dataclass(frozen=True)
+class SampleOptions:
+    """What a reader of samples asks for; -1 leaves a choice open."""
+
+    max_samples: int = -1
+    max_in_flight: int = 100
+    num_workers: int = -1
+    max_samples_per_stream: int = -1
+    timeout_ms: int = -1
+
+    def __post_init__(self) -> None:
+        for name in ("max_samples", "num_workers", "max_samples_per_stream"):
+            if getattr(self, name) != -1 and getattr(self, name) < 1:
+                raise ValueError(f"{name} must be positive, or -1")
+        if self.max_in_flight < 1:
+            raise ValueError("max_in_flight must be positive")
+        if self.timeout_ms < -1:
+            raise ValueError("timeout_ms must not be negative, or must be -1")
+
+
 @dataclass(frozen=True)
 class Table:
     name: str
@@ -37,7 +73,8 @@ class Table:
     rate_limiter: L.RateLimiter
     max_times_sampled: int = 0
     signature: T.StructType | None = None
-    #: Called with (event, DataFrame of the items concerned) after inserts, samples, updates, deletes and resets.
+    #: Called with (event, DataFrame of the items concerned) after inserts, samples, updates, deletes (evictions and items
+    #: sampled for the last time too) and resets.
     extensions: tuple[Callable[[str, DataFrame], None], ...] = ()
 
     def __post_init__(self) -> None:
@@ -106,10 +143,7 @@ class Server:
 
     def _settle(self, df: DataFrame) -> DataFrame:
         """Items as they now are, cut from the plan that made them, in the checkpoint folder that the cluster shares."""
-        context = self.spark.sparkContext
-        if not context.getCheckpointDir():
-            found = self.spark.conf.get("spark.checkpoint.dir", None)
-            context.setCheckpointDir(found or tempfile.mkdtemp(prefix="strandloom-"))
+        shared_folder(self.spark)
         return df.checkpoint()
 
     def items(self, name: str) -> DataFrame | None:
@@ -127,7 +161,9 @@ class Server:
     def insert(self, name: str, rows: DataFrame) -> int:
         """Inserts items (key, priority and data columns; ``op_seq`` orders them); existing keys get the new priority only.
 
-        New items beyond ``max_size`` evict as the remover says. Returns the number of new items.
+        New items beyond ``max_size`` evict as the remover says. Returns the number of new items. A batch that overflows
+        its table must be of new keys, each once: whether a key is new depends on what was evicted before it, so other
+        batches are refused with a ValueError, to be split.
         """
         t, s = self.table(name), self._states[name]
         if t.signature is not None:
@@ -147,12 +183,17 @@ class Server:
         n = new.count()
         if n and not bool(t.rate_limiter.can_insert(s.inserts, s.samples, s.deletes, n)):
             raise Deferred(f"table {name} does not admit {n} inserts now")
+        before = 0 if s.items is None else s.items.count()
+        if before + n > t.max_size and n < rows.count():
+            raise ValueError(f"a batch that overflows table {name} must not write a key twice, nor one that the table has")
         left = self._settle(selectors.survivors(kept, t.remover, t.max_size))
         self._seq = max(self._seq, made.agg(F.max("update_seq")).first()[0] or 0) + 1
-        before = 0 if s.items is None else s.items.count()
+        gone = before + n - left.count()
         s.items, s.inserts = left, s.inserts + n
-        s.deletes += before + n - left.count()
+        s.deletes += gone
         self._tell(t, "insert", new)
+        if gone:
+            self._tell(t, "delete", kept.join(left.select("table", "key"), ["table", "key"], "left_anti"))
         return n
 
     def sample(self, name: str, num_samples: int = 1, seed: int = 0) -> DataFrame:
@@ -185,12 +226,21 @@ class Server:
         out = self._settle(rows.select("draw", info.alias("info"), *data))
         s.unique += drawn.select("key").distinct().join(s.items.where("times_sampled = 0").select("key"), "key", "left_semi").count()
         left = self._settle(mutations.after_sampling(s.items, drawn, t.max_times_sampled))
-        n = out.count()
+        n, gone, held = out.count(), size - left.count(), s.items
         self._seq += num_samples
-        s.samples, s.deletes, s.items = s.samples + n, s.deletes + size - left.count(), left
+        s.samples, s.deletes, s.items = s.samples + n, s.deletes + gone, left
         self._tell(t, "sample", out)
+        if gone:
+            self._tell(t, "delete", held.join(left.select("table", "key"), ["table", "key"], "left_anti"))
         return out
 
+    def trajectories(self, name: str, num_samples: int = 1, seed: int = 0) -> DataFrame:
+        """Samples as ``info`` and the columns that the table's signature declares, in its order."""
+        signature = self.table(name).signature
+        if signature is None:
+            raise ValueError(f"table {name} declares no signature")
+        return self.sample(name, num_samples, seed).select("info", *signature.fieldNames())
+
     def mutate(self, name: str, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
         """Priorities (key, priority[, op_seq]) to set and keys to delete; deletes win, unknown keys are ignored."""
         t, s = self.table(name), self._states[name]
@@ -199,9 +249,13 @@ class Server:
         if updates is not None:
             updates = updates.withColumn("op_seq", (F.col("op_seq") if "op_seq" in updates.columns else F.lit(0)).cast("long") + F.lit(self._seq)).withColumn("table", F.lit(name))
         left = self._settle(mutations.mutate_priorities(s.items, updates, deletes.withColumn("table", F.lit(name)) if deletes is not None else None))
-        s.deletes += s.items.count() - left.count()
+        held, gone = s.items, s.items.count() - left.count()
+        s.deletes += gone
         s.items, self._seq = left, self._seq + 1
-        self._tell(t, "update", left)
+        if updates is not None:
+            self._tell(t, "update", left.join(updates.select("key").distinct(), "key", "left_semi"))
+        if gone:
+            self._tell(t, "delete", held.join(left.select("table", "key"), ["table", "key"], "left_anti"))
 
     def reset(self, name: str) -> None:
         t = self.table(name)
@@ -232,6 +286,9 @@ class Server:
         for m in meta["tables"]:
             signature = T.StructType.fromJson(json.loads(m["signature"])) if m["signature"] else None
             made.append(Table(m["name"], Selector(**m["sampler"]), Selector(**m["remover"]), m["max_size"], L.RateLimiter(**m["rate_limiter"]), m["max_times_sampled"], signature, own.get(m["name"], ())))
+            found = tables.get(f"items-{m['name']}")
+            if found is not None and found.groupBy("key").count().where("count > 1").limit(1).count():
+                raise ValueError(f"the checkpoint has a key of table {m['name']} twice")
             self._states[m["name"]] = _State(tables.get(f"items-{m['name']}"), *m["counters"])
         self.tables, self._seq = made, meta["seq"]
 

@@ -20,6 +20,7 @@ from strandloom.operators import selectors as K
 from strandloom.operators import trajectory as TR
 from strandloom.operators.patterns import Condition, apply_pattern, apply_patterns, create_config, create_reference_step, td_error
 from strandloom.sources import steps as S
+from strandloom.sources.checkpoint import Checkpointer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -288,11 +289,13 @@ def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.delta_decode(delta_encode(spark, sf_dir), ["episode"], "step", "q")
 
 
-REFS_SQL = "refs AS (SELECT l_orderkey AS key, l_partkey AS chunk_key FROM lineitem WHERE l_orderkey % 3 = 0)"
+REFS_SQL = "refs AS (SELECT l_orderkey AS key, l_partkey AS chunk_key FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'))"
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("chunk_key"))
+    """Live items are the open orders."""
+    live = read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("key"))
+    return _all_refs(spark, sf_dir).join(live, "key", "left_semi")
 
 
 @query(f"WITH {REFS_SQL} SELECT chunk_key, count(DISTINCT key) AS num_items FROM refs GROUP BY 1")
@@ -412,16 +415,25 @@ def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.draws(items(spark, sf_dir).select("table").distinct(), 100, 7).select("table", "draw", F.round("u", 12).alias("u"))
 
 
-@query(None)
+def _draw_sql(weight: str, seed: int) -> str:
+    """Draws by running sums over whole tables in the order of bucket and key: what the two levels of sums add up to."""
+    return f"""WITH {ITEMS_SQL}, w AS (SELECT "table", key, {weight} AS w, concat('0x', substr(md5(key::VARCHAR), 1, 8))::UBIGINT % 1024 AS b FROM items),
+o AS (SELECT "table", key, w, sum(w) OVER (PARTITION BY "table" ORDER BY b, key ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY "table") AS total, count(*) OVER (PARTITION BY "table") AS n FROM w),
+d AS (SELECT t AS "table", draw, concat('0x', substr(md5('{seed}:' || t || ':' || draw), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT o_orderpriority AS t FROM orders), range(500) r(draw)),
+a AS (SELECT d."table", draw, u * total AS pos FROM d JOIN (SELECT DISTINCT "table", total FROM o) t ON t."table" = d."table")
+SELECT a."table", draw, o.key, round(o.w / o.total, 9) AS probability, o.n AS table_size FROM a ASOF JOIN o ON a."table" = o."table" AND a.pos < o.hi"""
+
+
+@query(_draw_sql("CASE WHEN priority = 0 THEN 0 ELSE pow(priority, 0.8) END", 7))
 def seeded_prioritized_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    return K.sample(i, K.draws(i.select("table").distinct(), 500, 7), K.Prioritized(0.8))
+    return K.sample(i, K.draws(i.select("table").distinct(), 500, 7), K.Prioritized(0.8)).withColumn("probability", F.round("probability", 9))
 
 
-@query(None)
+@query(_draw_sql("1.0::DOUBLE", 11))
 def seeded_uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    return K.sample(i, K.draws(i.select("table").distinct(), 500, 11), K.Uniform())
+    return K.sample(i, K.draws(i.select("table").distinct(), 500, 11), K.Uniform()).withColumn("probability", F.round("probability", 9))
 
 
 # ---- rate limits and mutations
@@ -434,7 +446,7 @@ def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("table"), F.col("event_id").alias("op_seq"), op.alias("op"), F.col("event_id").alias("key"))
 
 
-@query(f"""WITH RECURSIVE {OPS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS i FROM ops),
+ADMIT_SQL = f"""{OPS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS i FROM ops),
 r AS (
   SELECT "table", 0::BIGINT AS i, -1::BIGINT AS op_seq, '' AS op, 0 AS ins, 0 AS sam, 0 AS del, FALSE AS ok FROM ops GROUP BY "table"
   UNION ALL
@@ -442,28 +454,46 @@ r AS (
     SELECT n."table", n.i, n.op_seq, n.op, r.ins, r.sam, r.del, CASE n.op
       WHEN 'insert' THEN r.ins + 1 - r.del <= 2 OR (r.ins + 1) * 1.5 - r.sam <= 3
       WHEN 'sample' THEN r.ins - r.del >= 2 AND r.ins * 1.5 - r.sam - 1 >= -1 ELSE TRUE END AS ok
-    FROM r JOIN n ON n."table" = r."table" AND n.i = r.i + 1))
-SELECT "table", op_seq, op, ok AS admitted FROM r WHERE i > 0""")
+    FROM r JOIN n ON n."table" = r."table" AND n.i = r.i + 1))"""
+
+
+@query(f'WITH RECURSIVE {ADMIT_SQL} SELECT "table", op_seq, op, ok AS admitted FROM r WHERE i > 0')
 def limiter_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.admit(_ops(spark, sf_dir).drop("key"), L.RateLimiter(1.5, 2, -1.0, 3.0))
 
 
-@query(f"""WITH {OPS_SQL}, c AS (SELECT "table", count(*) FILTER (op = 'insert') AS inserts, count(*) FILTER (op = 'sample') AS samples, count(*) FILTER (op = 'delete') AS deletes FROM ops GROUP BY 1)
+@query(f"""WITH RECURSIVE {ADMIT_SQL}, c AS (SELECT "table", max(ins)::BIGINT AS inserts, max(sam)::BIGINT AS samples, max(del)::BIGINT AS deletes FROM r GROUP BY 1)
 SELECT *, inserts - deletes >= 2 AND inserts * 1.5 - samples - 1 >= -1 AS can_sample, inserts + 1 - deletes <= 2 OR (inserts + 1) * 1.5 - samples <= 3 AS can_insert FROM c""")
 def limiter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.limiter_state(_ops(spark, sf_dir), L.RateLimiter(1.5, 2, -1.0, 3.0))
+    """What the limiter allows after the operations that it has admitted."""
+    limit = L.RateLimiter(1.5, 2, -1.0, 3.0)
+    return L.limiter_state(L.admit(_ops(spark, sf_dir).drop("key"), limit).where("admitted"), limit)
+
+
+def _held_sql(taken: str, left: str) -> str:
+    """Five places that are filled and emptied one operation after the other, as a list."""
+    return f"""WITH RECURSIVE {OPS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS i FROM ops WHERE op <> 'delete'),
+r AS (
+  SELECT "table", 0::BIGINT AS i, -1::BIGINT AS op_seq, []::BIGINT[] AS held, NULL::BIGINT AS key FROM ops GROUP BY "table"
+  UNION ALL
+  SELECT n."table", n.i, n.op_seq, CASE WHEN n.op = 'insert' THEN CASE WHEN len(held) < 5 THEN list_append(held, n.op_seq) ELSE held END WHEN len(held) > 0 THEN {left} ELSE held END,
+    CASE WHEN n.op = 'sample' AND len(held) > 0 THEN {taken} END
+  FROM r JOIN n ON n."table" = r."table" AND n.i = r.i + 1)
+SELECT "table", key, op_seq AS sampled_at FROM r WHERE key IS NOT NULL"""
+
 
+def _admitted(spark: SparkSession, sf_dir: str, limit: L.RateLimiter) -> DataFrame:
+    return L.admit(_ops(spark, sf_dir).where("op <> 'delete'"), limit).where("admitted")
 
-@query(f"""WITH {OPS_SQL}, i AS (SELECT "table", op_seq AS key, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS k FROM ops WHERE op = 'insert'),
-s AS (SELECT "table", op_seq AS sampled_at, row_number() OVER (PARTITION BY "table" ORDER BY op_seq) AS k FROM ops WHERE op = 'sample')
-SELECT i."table", i.key, s.sampled_at FROM i JOIN s ON i."table" = s."table" AND i.k = s.k""")
+
+@query(_held_sql("held[1]", "held[2:]"))
 def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.queue_replay(_ops(spark, sf_dir))
+    return L.queue_replay(_admitted(spark, sf_dir, L.Queue(5)))
 
 
-@query(None)
+@query(_held_sql("held[len(held)]", "held[:len(held) - 1]"))
 def stack_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.stack_replay(_ops(spark, sf_dir))
+    return L.stack_replay(_admitted(spark, sf_dir, L.Stack(5)))
 
 
 @query("""SELECT o_orderpriority AS "table", o_custkey AS key, min(o_orderkey) AS insert_seq, max(o_orderkey) AS update_seq,
@@ -509,6 +539,125 @@ def table_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table", "current_size", "num_unique_samples", "total_samples", *[F.col(c).cast("long").alias(c) for c in ("min_priority", "max_priority")])
 
 
+@query(f"""WITH {ITEMS_SQL} SELECT "table", key, priority FROM items WHERE key IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def get_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup of the items that a draw log names."""
+    return M.get_items(items(spark, sf_dir), _draw_log(spark, sf_dir)).select("table", "key", F.col("priority").cast("long").alias("priority"))
+
+
+# ---- flat trajectories: an order is an item of two columns, whose slices its lines list
+
+SLICES_SQL = f"""lines AS (SELECT l_orderkey AS key, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS n, l_returnflag AS flag,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS step FROM lineitem)"""
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, columns: parts and suppliers as chunks; an order whose first line was returned has its second column squeezed."""
+    lines = S.number_steps(read(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER)
+    row = F.struct("step", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("n"), (F.col("l_returnflag") == "R").alias("r"))
+    whole = lines.groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list(row)).alias("x"))
+
+    def slices(chunk: str, index: int):  # noqa: ANN202
+        return F.transform("x", lambda e: F.struct(e[chunk].alias("chunk_key"), F.when(e["step"] == 0, e["n"] % 3).otherwise(F.lit(0)).alias("offset"), e["n"].alias("length"), F.lit(index).alias("index")))
+
+    columns = F.array(
+        F.struct(F.lit(False).alias("squeeze"), slices("p", 0).alias("slices")), F.struct(F.get("x", F.lit(0))["r"].alias("squeeze"), slices("s", 1).alias("slices"))
+    )
+    return whole.select("key", columns.alias("columns"))
+
+
+@query(f"""WITH {SLICES_SQL}, u AS (SELECT key, p AS k, step FROM lines UNION ALL SELECT key, s, 1000000 + step FROM lines), f AS (SELECT key, k, min(step) AS pos FROM u GROUP BY 1, 2)
+SELECT key, string_agg(k::VARCHAR, ',' ORDER BY pos) AS chunk_keys FROM f GROUP BY key""")
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir).select("key", F.array_join(F.transform(A.chunk_keys(F.col("columns")), lambda k: k.cast("string")), ",").alias("chunk_keys"))
+
+
+@query(f"""WITH {SLICES_SQL} SELECT key, sum(n)::BIGINT AS length, max(n % 3) FILTER (step = 0) AS "offset" FROM lines GROUP BY key""")
+def trajectory_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.get("columns", F.lit(0))["slices"]
+    return _flat(spark, sf_dir).select("key", A.column_length(first).alias("length"), A.column_offset(first).cast("long").alias("offset"))
+
+
+@query(f"""WITH {SLICES_SQL} SELECT key, bool_and(p = s) AND NOT bool_or(flag = 'R' AND step = 0) AS is_timestep FROM lines GROUP BY key""")
+def timestep_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir).select("key", A.is_timestep_trajectory(F.col("columns")).alias("is_timestep"))
+
+
+@query(f"""WITH {SLICES_SQL} SELECT key, NOT bool_or(flag = 'R' AND step = 0) AS is_timestep FROM lines GROUP BY key""")
+def timestep_trajectories_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both columns read the chunks of the first; a squeezed column is no sequence of steps."""
+    c = F.col("columns")
+    same = F.transform(F.get(c, F.lit(0))["slices"], lambda s: s.withField("index", F.lit(1)))
+    both = F.array(F.get(c, F.lit(0)), F.struct(F.get(c, F.lit(1))["squeeze"].alias("squeeze"), same.alias("slices")))
+    return _flat(spark, sf_dir).select("key", A.is_timestep_trajectory(both).alias("is_timestep"))
+
+
+@query(f"""WITH {SLICES_SQL} SELECT key FROM lines GROUP BY key HAVING bool_or(p <> s)""")
+def invalid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items are said to hold the first column's chunks only: wrong wherever the second reads another."""
+    said = F.array_distinct(F.transform(F.get("columns", F.lit(0))["slices"], lambda s: s["chunk_key"]))
+    return M.invalid_items(_flat(spark, sf_dir).withColumns({"chunk_keys": said, "priority": F.lit(1.0)})).select("key")
+
+
+@query(f"""WITH {CELLS_SQL}, c AS (SELECT episode, idx // 2 AS chunk_no, count(*) AS n, arg_max(q, idx) AS second FROM cells GROUP BY 1, 2)
+SELECT episode, chunk_no::BIGINT AS chunk_no, second AS cell, 16::BIGINT AS uncompressed_bytes FROM c WHERE n = 2""")
+def unpack_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second cell of every full chunk, and the chunk's size of two 8-byte cells."""
+    full = C.uncompressed_bytes(C.build_chunks(_lines(spark, sf_dir), ["episode"], "step", "q", 2), 8).where("num_rows = 2")
+    return TR.unpack_column(full, 1, 1).select("episode", "chunk_no", A.squeeze(F.col("data")).alias("cell"), "uncompressed_bytes")
+
+
+@query(f"""WITH {CELLS_SQL} SELECT episode, idx::BIGINT AS idx, (q - CASE WHEN idx % 3 = 0 THEN 0 ELSE lag(q, 1, 0) OVER (PARTITION BY episode ORDER BY idx) END)::BIGINT AS cell FROM cells""")
+def delta_encode_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = C.build_chunks(_lines(spark, sf_dir), ["episode"], "step", "q", 3)
+    cells = made.select("episode", "chunk_no", F.posexplode(C.delta_encode_array(F.col("data"))).alias("at", "cell"))
+    return cells.select("episode", (F.col("chunk_no") * 3 + F.col("at")).alias("idx"), "cell")
+
+
+@query("""SELECT o_orderkey AS key, o_custkey AS who, round(o_totalprice * 100)::BIGINT AS price, o_orderstatus AS status FROM orders""")
+def unflatten_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat columns to a nested record, and read from it."""
+    o = read(spark, sf_dir, "orders")
+    flat = o.select("o_orderkey", F.col("o_custkey").alias("order/who"), F.round(F.col("o_totalprice") * 100).cast("long").alias("order/state/price"), F.col("o_orderstatus").alias("order/state/status"))
+    nested = TR.nest(flat, ["order/who", "order/state/price", "order/state/status"])
+    return nested.select(F.col("o_orderkey").alias("key"), "order.who", "order.state.price", "order.state.status")
+
+
+@query("""WITH c AS (SELECT conv_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
+SELECT conv_id, coalesce(string_agg(n::VARCHAR, ',' ORDER BY i) FILTER (i >= 1 AND i < k - 1 AND i % 2 = 1), '') AS middle, string_agg(n::VARCHAR, ',' ORDER BY i) FILTER (i >= k - 3) AS last,
+  max(n) FILTER (i = k - 1)::BIGINT AS newest, max(n) FILTER (i = 0)::BIGINT AS oldest FROM c GROUP BY conv_id""")
+def history_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of one trajectory by different references into the history: strided, sliced, single and gathered cells."""
+    whole = _turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "n"))).alias("s"))
+    h = F.col("s.n")
+    text = lambda a: F.array_join(F.transform(A.require_cells(a), lambda x: x.cast("string")), ",")
+    ends = A.require_cells(A.gather(h, [-1, 0]))
+    return whole.select("conv_id", text(A.py_slice(h, 1, -1, 2)).alias("middle"), text(A.py_slice(h, -3, None)).alias("last"), A.squeeze(A.py_slice(h, -1, None)).alias("newest"), F.get(ends, F.lit(1)).alias("oldest"))
+
+
+@query("""SELECT event_id, 1 AS missing FROM events WHERE event_type IN ('view', 'click')""")
+def open_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks send only the first of their two parts."""
+    s = steps(spark, sf_dir)
+    parts = s.select("event_id", F.col("v").alias("value_c"), F.lit(None).cast("string").alias("kind")).union(s.where("kind NOT IN ('view', 'click')").select("event_id", F.lit(None).cast("long"), "kind"))
+    return S.open_steps(parts, ["event_id"], ["value_c", "kind"])
+
+
+@query(f"""WITH {EPISODES_SQL} SELECT user_id, event_id FROM (SELECT *, max((kind = 'signup')::INT) OVER (PARTITION BY user_id, episode ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS lost FROM episodes) WHERE lost = 0""")
+def usable_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups are taken for lost steps: the rest of their episode is of no use."""
+    s = S.number_episodes(steps(spark, sf_dir), ["user_id"], ORDER, F.col("is_last"))
+    return S.usable_steps(s, ["user_id"], "episode", ORDER, F.col("kind") == "signup").select("user_id", "event_id")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT "table", key, priority FROM items""")
+def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items saved to the shared folder and loaded from the latest complete checkpoint there."""
+    saved = Checkpointer.temporary(spark)
+    saved.save({"items": items(spark, sf_dir)}, {"seq": 1})
+    return saved.load()[0]["items"].select("table", "key", F.col("priority").cast("long").alias("priority"))
+
+
 @query("SELECT conv_id FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) WHERE n <> 4")
 def signature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = _turns(spark, sf_dir).groupBy("conv_id").agg(F.collect_list("n").alias("n"))

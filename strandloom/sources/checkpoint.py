@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which the cluster shares; one is set only where a session has none, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="strandloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 class Checkpointer:
     """Saves to and loads from ``path``, which may lie in any store that Spark writes to.
 
@@ -18,6 +33,11 @@ class Checkpointer:
         self.spark, self.path, self.fallback = spark, f"{path.rstrip('/')}/{group}".rstrip("/"), fallback
         self._jvm = spark.sparkContext._jvm
 
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> Checkpointer:
+        """One with a new folder of its own in the shared folder."""
+        return cls(spark, shared_folder(spark), f"checkpoints-{uuid.uuid4().hex}")
+
     def _fs(self, path: str):  # noqa: ANN202
         where = self._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where

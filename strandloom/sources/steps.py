@@ -25,6 +25,18 @@ def merge_partial_steps(parts: DataFrame, keys: Sequence[str], columns: Sequence
     return parts.groupBy(*keys).agg(*[once(c) for c in columns])
 
 
+def open_steps(parts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Steps that partial appends have begun and not filled: (keys, ``missing``: how many of the columns have no cell)."""
+    missing = sum((F.when(F.count(c) == 0, 1).otherwise(0) for c in columns), F.lit(0))
+    return parts.groupBy(*keys).agg(missing.alias("missing")).where("missing > 0")
+
+
+def usable_steps(steps: DataFrame, stream: Sequence[str], episode: str, order: Sequence[str], lost: Column) -> DataFrame:
+    """Steps of which no trajectory misses data: from the first lost step of an episode on, nothing of it can be used."""
+    so_far = Window.partitionBy(*stream, episode).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("_lost", F.max(F.coalesce(lost, F.lit(False)).cast("int")).over(so_far)).where("_lost = 0").drop("_lost")
+
+
 def append_sequence(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Splits array columns into steps; arrays of a row must be equally long."""
     first = F.size(columns[0])

@@ -11,7 +11,7 @@ from strandloom.operators import mutations as M
 from strandloom.operators import selectors as K
 from strandloom.operators import trajectory as TR
 from strandloom.operators.patterns import create_config, create_reference_step
-from strandloom.plans.replay import Client, Deferred, Server, Table, copy_on_first_sample
+from strandloom.plans.replay import Client, Deferred, SampleOptions, Server, Table, TableExtension, copy_on_first_sample
 from strandloom.sources.checkpoint import Checkpointer
 from strandloom.streaming.patterns import admit_stream, apply_batches, sliding_stream
 
@@ -189,3 +189,75 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 6
+
+
+def test_overflowing_batches(spark):
+    server = Server(spark, [Table("t", K.Uniform(), K.Fifo(), 2, L.MinSize(1))])
+    server.insert("t", frame(spark, [(1, 1), (2, 1), (3, 1)]))
+    assert sorted(r["key"] for r in server.items("t").collect()) == [2, 3]
+    again = spark.createDataFrame([(4, 1.0, 0), (5, 1.0, 1), (4, 2.0, 2)], "key long, priority double, op_seq long")
+    for rows in (again, frame(spark, [(2, 5), (9, 1)])):
+        with pytest.raises(ValueError, match="twice"):
+            server.insert("t", rows)
+    assert sorted(r["key"] for r in server.items("t").collect()) == [2, 3]
+    server.insert("t", frame(spark, [(1, 7)]))
+    assert sorted(r["key"] for r in server.items("t").collect()) == [1, 3]
+
+
+def test_events_reach_extensions(spark):
+    class Log(TableExtension):
+        def __init__(self):
+            self.seen = []
+
+        def on_insert(self, items):
+            self.seen.append(("insert", sorted(r["key"] for r in items.collect())))
+
+        def on_delete(self, items):
+            self.seen.append(("delete", sorted(r["key"] for r in items.collect())))
+
+        def on_update(self, items):
+            self.seen.append(("update", sorted(r["key"] for r in items.collect())))
+
+    log = Log()
+    server = Server(spark, [Table.queue("q", 3, extensions=(log,)), Table("t", K.Uniform(), K.Fifo(), 2, L.MinSize(1), extensions=(log,))])
+    client = Client(server)
+    server.insert("t", frame(spark, [(1, 1), (2, 1), (3, 1)]))
+    client.mutate_priorities("t", {3: 4.0}, [2])
+    server.insert("q", frame(spark, [(7, 1), (8, 1)]))
+    client.sample("q", 1)
+    assert log.seen == [("insert", [1, 2, 3]), ("delete", [1]), ("update", [3]), ("delete", [2]), ("insert", [7, 8]), ("delete", [7])]
+
+
+def test_config_options_and_signature(spark):
+    config = [{"name": "a", "sampler": {"kind": "prioritized", "exponent": 0.5}, "remover": {"kind": "fifo"}, "max_size": 4, "max_times_sampled": 2, "rate_limiter": {"samples_per_insert": 1.0, "min_size_to_sample": 1, "min_diff": -9.0, "max_diff": 9.0}}]
+    server = Server.from_config(spark, config)
+    assert server.table("a") == Table("a", K.Prioritized(0.5), K.Fifo(), 4, L.RateLimiter(1.0, 1, -9.0, 9.0), 2)
+    for bad in ({"max_samples": 0}, {"max_in_flight": 0}, {"num_workers": 0}, {"max_samples_per_stream": -2}, {"timeout_ms": -2}):
+        with pytest.raises(ValueError):
+            SampleOptions(**bad)
+    assert SampleOptions(max_samples=1, timeout_ms=0).max_in_flight == 100
+    signed = Server(spark, [Table("s", K.Fifo(), K.Fifo(), 4, L.MinSize(1), signature=T.StructType([T.StructField("y", T.LongType()), T.StructField("x", T.LongType())]))])
+    signed.insert("s", spark.createDataFrame([(1, 1.0, 5, 6)], "key long, priority double, x long, y long"))
+    assert signed.trajectories("s").columns == ["info", "y", "x"]
+    with pytest.raises(ValueError, match="signature"):
+        server.trajectories("a")
+    with pytest.warns(UserWarning, match="upper bound"):
+        L.SampleToInsertRatio(2.0, 10, (0.0, 8.0))
+
+
+def test_restore_refuses_a_key_twice(spark):
+    checkpoints = Checkpointer.temporary(spark)
+    server = Server(spark, [Table("d", K.Uniform(), K.Fifo(), 3, L.MinSize(1))], checkpoints)
+    server.insert("d", frame(spark, [(1, 1), (2, 1)]))
+    server._states["d"].items = server.items("d").union(server.items("d"))
+    server.checkpoint()
+    with pytest.raises(ValueError, match="twice"):
+        Server(spark, server.tables, checkpoints)
+
+
+def test_missing_cells(spark):
+    d = spark.createDataFrame([([1, None, 3],)], "x array<int>")
+    assert d.select(A.require_cells(A.gather(F.col("x"), [0, -1])).alias("y")).first()["y"] == [1, 3]
+    for bad in (A.gather(F.col("x"), [1]), A.gather(F.col("x"), [5])):
+        with pytest.raises(Exception, match="missing"):
+            d.select(A.require_cells(bad)).collect()
