@@ -74,7 +74,7 @@ def shard(docs: DataFrame, n_shards: int = 16, vnodes: int = 256, slack: float =
     spark = docs.sparkSession
     nodes = ring(n_shards, vnodes)
     places, owners = [p for p, _ in nodes], [s for _, s in nodes]
-    arc_of = [bisect_left(places, p) % len(places) for p in range(0, PLACES, PLACES >> 12)]
+    arc_of = [bisect_left(places, p) for p in range(0, PLACES, PLACES >> 12)]
     data = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
     place = F.pmod(F.coalesce(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)), F.lit(PLACES)).cast("int")
     keys = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), place.alias("place"))
