@@ -24,12 +24,16 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rules and the certified cutoffs keep, repeated rows alike. A null or empty text goes; a null id or
+    language is judged like any other. An empty table gives an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     measured = cut(measures(_whole(docs), ["_doc", "doc_id", "lang"]), "pipeline-measures")
     return judge(measured, cutoffs(measured, labels)).where("kept").select("_doc.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text scores KEEP_SCORE or more, whatever its length, by a network trained on the labelled rows at
+    hand; a null text is an empty one. An empty table, or one without labels, is scored by an untrained network."""
     net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(_whole(docs), net, ["_doc"]).where(F.col("score") >= KEEP_SCORE).select("_doc.*")
 
@@ -55,6 +59,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each row's tokens, with its place in a sequence; a null text has the end id alone."""
     return pack_documents(docs)
 
 
@@ -71,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written to the shared folder and read again by the next."""
+    """All stages over the whole documents table, each written to the shared folder and read again by the next.
+
+    Rows of the last stage, see :func:`packing`; an empty table gives none.
+    """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
