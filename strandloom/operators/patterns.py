@@ -283,9 +283,11 @@ def apply_pattern(steps: DataFrame, config: PatternConfig, stream: Sequence[str]
     is not evaluated, but counts for step_index. Null, float and missing data conditions are false, inverse or not. An
     empty table gives no rows.
     """
-    keys = [*stream, *([episode] if episode else [])]
-    window = Window.partitionBy(*keys).orderBy(*order)
-    number = F.row_number().over(window)
+    return apply_patterns(steps, [config], stream, order, episode, end).drop("config_idx")
+
+
+def _passed(steps: DataFrame, config: PatternConfig, number: Column) -> tuple[Column, list[Test]]:
+    """Whether a step passes the conditions that it can settle by itself, and the conditions that it cannot."""
     sides = {"step_index": number - 1, "buffer_length": F.least(number, F.lit(config.history)), "is_end_episode": F.col("_end").cast("int")}
     passed, later = F.lit(True), []
     for test in config.conditions:
@@ -296,28 +298,21 @@ def apply_pattern(steps: DataFrame, config: PatternConfig, stream: Sequence[str]
             passed = passed & (F.coalesce(test.of(F.col(test.column).cast("long")), F.lit(False)) if numeric else F.lit(False))
         else:
             passed = passed & test.of(sides[test.left])
-    nodes = config.nodes
-    places = {f"_n{i}": name for i, name in enumerate(nodes)}
-    cells = {k: _cell(nodes[name], window) for k, name in places.items()}
-    used = config.used()
-    evaluated = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in used], F.lit(False))
-    roots = [c for c in dict.fromkeys(c.split(".")[0] for c in used) if c not in (*keys, *order)]
-    d = steps.select(*keys, *order, *roots, F.coalesce(end if end is not None else F.lit(False), F.lit(False)).alias("_end"))
-    d = d.select(*keys, *order, *[v.alias(k) for k, v in cells.items()], evaluated.alias("_evaluated"), passed.alias("_passed")).where("_evaluated")
-    ready = F.col("_passed")
-    for k in cells:
-        ready = ready & F.col(k).isNotNull()
-    d = d.withColumn("_ready", ready)
-    d = _since_applied(d, later, list(stream), keys, list(order)) if later else d.where("_ready")
-    td = [k for k, name in places.items() if nodes[name].column == config.priority.td_column]
+    return passed, later
+
+
+def _item(config: PatternConfig, index: int, cells: Mapping[Node, str]) -> Column:
+    """The item that a config makes of a step, as a struct."""
+    td = [node for node in config.nodes.values() if node.column == config.priority.td_column]
     if config.priority.td_column is None:
         priority = F.lit(float(config.priority.value))
     elif not td:
         priority = F.lit(0.0)
     else:
-        node = nodes[places[td[-1]]]
-        priority = td_error_priority(F.array(F.col(td[-1])) if node.squeeze else F.col(td[-1]), config.priority.max_weight)
-    return d.select(*keys, *order, F.lit(config.table).alias("table"), priority.alias("priority"), *[F.col(k).alias(name) for k, name in places.items()])
+        cell = F.col(cells[td[-1]])
+        priority = td_error_priority(F.array(cell) if td[-1].squeeze else cell, config.priority.max_weight)
+    own = [F.col(cells[node]).alias(name) for name, node in sorted(config.nodes.items())]
+    return F.struct(F.lit(config.table).alias("table"), priority.alias("priority"), F.lit(index).alias("config_idx"), F.struct(*own).alias("_columns"))
 
 
 def _since_applied(d: DataFrame, tests: list[Test], stream: list[str], keys: list[str], order: list[str]) -> DataFrame:
@@ -343,14 +338,53 @@ def _since_applied(d: DataFrame, tests: list[Test], stream: list[str], keys: lis
 
 
 def apply_patterns(steps: DataFrame, configs: Sequence[PatternConfig], stream: Sequence[str], order: Sequence[str], episode: str | None = None, end: Column | None = None) -> DataFrame:
-    """All configs of one output structure: each makes its items by itself; ``config_idx`` tells them apart."""
+    """All configs of one output structure: each makes its items by itself; ``config_idx`` tells them apart.
+
+    See :func:`apply_pattern`. One window holds the cells and conditions of all configs, so that steps are read, shuffled
+    and sorted once, and each step's items are spread over rows. Configs with steps_since_applied read what the window
+    gives once more, one pass each.
+    """
     if not configs:
         raise ValueError("at least one config is needed")
-    out = None
+    if len({tuple(sorted(c.nodes)) for c in configs}) > 1:
+        raise ValueError("configs must have the same output columns")
+    names = list(configs[0].nodes)
+    keys = [*stream, *([episode] if episode else [])]
+    window = Window.partitionBy(*keys).orderBy(*order)
+    number = F.row_number().over(window)
+    cells = {node: f"_n{i}" for i, node in enumerate(dict.fromkeys(n for c in configs for n in c.nodes.values()))}
+    roots = [c for c in dict.fromkeys(c.split(".")[0] for config in configs for c in config.used()) if c not in (*keys, *order)]
+    flags, later = [], {}
     for i, config in enumerate(configs):
-        made = apply_pattern(steps, config, stream, order, episode, end).withColumn("config_idx", F.lit(i))
-        out = made if out is None else out.unionByName(made)
-    return out
+        passed, waiting = _passed(steps, config, number)
+        evaluated = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in config.used()], F.lit(False))
+        flags += [evaluated.alias(f"_evaluated{i}"), passed.alias(f"_passed{i}")]
+        if waiting:
+            later[i] = waiting
+    d = steps.select(*keys, *order, *roots, F.coalesce(end if end is not None else F.lit(False), F.lit(False)).alias("_end"))
+    d = d.select(*keys, *order, *[_cell(node, window).alias(k) for node, k in cells.items()], *flags)
+
+    def ready(i: int) -> Column:
+        found = F.col(f"_evaluated{i}") & F.col(f"_passed{i}")
+        for node in configs[i].nodes.values():
+            found = found & F.col(cells[node]).isNotNull()
+        return found
+
+    made = []
+    now = [i for i in range(len(configs)) if i not in later]
+    if len(now) == 1:
+        made.append(d.where(ready(now[0])).select(*keys, *order, _item(configs[now[0]], now[0], cells).alias("_item")))
+    elif now:
+        each = F.array_compact(F.array(*[F.when(ready(i), _item(configs[i], i, cells)) for i in now]))
+        made.append(d.select(*keys, *order, F.explode(each).alias("_item")))
+    for i, tests in later.items():
+        own = d.where(f"_evaluated{i}").select(*keys, *order, *cells.values(), ready(i).alias("_ready"))
+        made.append(_since_applied(own, tests, list(stream), keys, list(order)).select(*keys, *order, _item(configs[i], i, cells).alias("_item")))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    columns = [F.col("_item._columns").getField(name).alias(name) for name in names]
+    return out.select(*keys, *order, "_item.table", "_item.priority", *columns, "_item.config_idx")
 
 
 def with_info(items: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.checkpoint import shared_folder
+
 
 @dataclass(frozen=True)
 class Selector:
@@ -51,10 +53,31 @@ def check_priorities(items: DataFrame) -> DataFrame:
     return items.withColumn("priority", F.when(bad, F.raise_error(F.lit("priorities must not be negative, null or NaN"))).otherwise(p))
 
 
+#: Up to this rank Spark keeps only the first rows of each task before it sorts a table (its window group limit).
+GROUP_LIMIT = 1000
+
+
+def _first(items: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` items of every table in this order, with ``rank`` from 1.
+
+    For more than GROUP_LIMIT items no task gets a whole table: all are sorted by ranges of (table, order) into the
+    folder in ``spark.checkpoint.dir``, ranges are counted, and an item's rank is its place in its range after the ranges before it.
+    """
+    if k <= GROUP_LIMIT:
+        return items.withColumn("rank", F.row_number().over(Window.partitionBy("table").orderBy(*order))).where(F.col("rank") <= k)
+    shared_folder(items.sparkSession)
+    placed = items.repartitionByRange("table", *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = placed.groupBy("table", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("table").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("table", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")).where(F.col("_start") < k)
+    inside = Window.partitionBy("table", "_part").orderBy(*order)
+    ranked = placed.join(starts, ["table", "_part"]).withColumn("rank", (F.col("_start") + F.row_number().over(inside)).cast("int"))
+    return ranked.where(F.col("rank") <= k).select(*items.columns, "rank")
+
+
 def head(items: DataFrame, selector: Selector, k: int = 1) -> DataFrame:
-    """The next ``k`` items of every table, with ``rank`` from 1. Rank filters are pushed into the window's sort."""
-    rank = F.row_number().over(Window.partitionBy("table").orderBy(*selector.order()))
-    return items.withColumn("rank", rank).where(F.col("rank") <= k)
+    """The next ``k`` items of every table, with ``rank`` from 1."""
+    return _first(items, selector.order(), k)
 
 
 def survivors(items: DataFrame, remover: Selector, max_size: int) -> DataFrame:
@@ -69,7 +92,7 @@ def survivors(items: DataFrame, remover: Selector, max_size: int) -> DataFrame:
         "fifo": [F.desc("insert_seq")], "lifo": [F.asc("insert_seq")],
         "min_heap": [F.desc("priority"), F.desc("update_seq")], "max_heap": [F.asc("priority"), F.desc("update_seq")],
     }[remover.kind]
-    return items.withColumn("_rank", F.row_number().over(Window.partitionBy("table").orderBy(*last))).where(F.col("_rank") <= max_size).drop("_rank")
+    return _first(items, last, max_size).drop("rank")
 
 
 def _weight(exponent: float) -> Column:

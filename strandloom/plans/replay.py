@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from strandloom.operators import limiter as L
 from strandloom.operators import mutations, selectors
-from strandloom.operators.patterns import PatternConfig, apply_pattern
+from strandloom.operators.patterns import PatternConfig, apply_patterns
 from strandloom.operators.selectors import Selector
 from strandloom.operators.trajectory import check_signature, explode_timesteps
 from strandloom.sources.checkpoint import Checkpointer, shared_folder
@@ -328,14 +328,12 @@ class Client:
             raise ValueError("at least one config is needed")
         made: dict[str, int] = {}
         for table in dict.fromkeys(c.table for c in configs):
-            items = None
-            for i, config in enumerate(configs):
-                if config.table == table:
-                    key = F.abs(F.xxhash64(F.lit(i), *stream, *order))
-                    own = apply_pattern(steps, config, stream, order, episode, end)
-                    places = [F.col(c).alias(f"_o{k}") for k, c in enumerate([*order, *stream])]
-                    own = own.select(key.alias("key"), "priority", *places, F.lit(i).alias("_config"), *config.nodes)
-                    items = own if items is None else items.unionByName(own)
+            mine = [i for i, c in enumerate(configs) if c.table == table]
+            own = apply_patterns(steps, [configs[i] for i in mine], stream, order, episode, end)
+            config = F.get(F.array(*[F.lit(i) for i in mine]), F.col("config_idx"))
+            key = F.xxhash64(config, *stream, *order).bitwiseAND(F.lit((1 << 63) - 1))
+            places = [F.col(c).alias(f"_o{k}") for k, c in enumerate([*order, *stream])]
+            items = own.select(key.alias("key"), "priority", *places, config.alias("_config"), *configs[mine[0]].nodes)
             numbered = self._number(items, [*[f"_o{k}" for k in range(len(order) + len(stream))], "_config"])
             made[table] = self.server.insert(table, numbered)
         return made

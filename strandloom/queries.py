@@ -92,19 +92,12 @@ def null_skipping_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_pattern(s, create_config({"x": REF["x"][-3:]}, "t"), ["user_id"], ORDER).select("user_id", "event_id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
-def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = {"eq": Condition.step_index() == 3, "ge": Condition.step_index() >= 5, "lt": Condition.step_index() < 4, "mod": Condition.step_index() % 3 == 1, "ne": Condition.step_index() % 3 != 0}
-    out = None
-    for name, test in tests.items():
-        made = pattern(spark, sf_dir, {"x": REF["v"][-1]}, (test,)).select(F.lit(name).alias("test"), "user_id", "event_id", "x")
-        out = made if out is None else out.union(made)
-    return out
-
-
 @query(f"""WITH {STEPS_SQL} SELECT test, user_id, event_id, v AS x FROM steps, (VALUES ('eq'), ('ge'), ('lt'), ('mod'), ('ne')) AS t(test)
 WHERE v IS NOT NULL AND CASE test WHEN 'eq' THEN step = 3 WHEN 'ge' THEN step >= 5 WHEN 'lt' THEN step < 4 WHEN 'mod' THEN step % 3 = 1 ELSE step % 3 <> 0 END""")
 def cond_step_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conditions(spark, sf_dir)
+    tests = {"eq": Condition.step_index() == 3, "ge": Condition.step_index() >= 5, "lt": Condition.step_index() < 4, "mod": Condition.step_index() % 3 == 1, "ne": Condition.step_index() % 3 != 0}
+    configs = [create_config({"x": REF["v"][-1]}, name, (test,)) for name, test in tests.items()]
+    return apply_patterns(steps(spark, sf_dir), configs, ["user_id"], ORDER).select(F.col("table").alias("test"), "user_id", "event_id", "x")
 
 
 @query(f"WITH {STEPS_SQL}, l AS (SELECT user_id, event_id, lag(v) {W} AS a, v AS b, kind FROM steps) SELECT user_id, event_id, a, b FROM l WHERE kind = 'click' AND a + b IS NOT NULL")
@@ -383,6 +376,19 @@ for _kind, _head, _last in (("fifo", "key", "key DESC"), ("lifo", "key DESC", "k
     _survivors(_kind, _last)
 
 
+@query(f"""WITH {ITEMS_SQL}, r AS (SELECT "table", key, row_number() OVER (PARTITION BY "table" ORDER BY priority // 1000000 DESC, key) AS rank FROM items)
+SELECT "table", key, rank::INT AS rank FROM r WHERE rank <= 2000""")
+def maxheap_head_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More items than Spark's group limit takes, with many ties: the ranks come from ranges."""
+    tied = items(spark, sf_dir).withColumn("priority", F.floor(F.col("priority") / 1_000_000).cast("double"))
+    return K.head(tied, K.MaxHeap(), 2000).select("table", "key", "rank")
+
+
+@query(f"""WITH {ITEMS_SQL}, r AS (SELECT "table", key, row_number() OVER (PARTITION BY "table" ORDER BY key DESC) AS rank FROM items) SELECT "table", key FROM r WHERE rank <= 2000""")
+def fifo_eviction_survivors_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.survivors(items(spark, sf_dir), K.Fifo(), 2000).select("table", "key")
+
+
 @query(f'WITH {ITEMS_SQL} SELECT "table", key, round(1.0::DOUBLE / count(*) OVER (PARTITION BY "table"), 9) AS probability FROM items')
 def uniform_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.probabilities(items(spark, sf_dir), K.Uniform()).select("table", "key", F.round("probability", 9).alias("probability"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.patterns import Condition, apply_pattern, constant_priority, create_config, create_reference_step, infer_signature, pattern_from_transform, td_error, with_info
+from strandloom.operators.patterns import Condition, apply_pattern, apply_patterns, constant_priority, create_config, create_reference_step, infer_signature, pattern_from_transform, td_error, with_info
 from strandloom.sources import steps as S
 
 REF = create_reference_step()
@@ -102,3 +102,20 @@ def test_steps(spark):
         S.merge_partial_steps(parts.union(parts), ["k"], ["a", "b"]).collect()
     with pytest.raises(Exception, match="differ in length"):
         S.append_sequence(spark.createDataFrame([(1, [1, 2], [1])], "k int, a array<int>, b array<int>"), ["k"], ["a", "b"]).collect()
+
+
+def test_configs_share_one_window(spark, capsys):
+    """Items of several configs, one of which counts steps since it fired, are what each makes by itself, by one sort."""
+    df = stream(spark, [0, 1, None, 3, 4, 5, 6])
+    plain = [create_config({"x": REF["v"][-2:], "y": REF["v"][-1]}, "a"), create_config({"x": REF["v"][-3:-1], "y": REF["v"][-1]}, "b", (Condition.step_index() % 2 == 0,), td_error(0.5, "v"))]
+    late = create_config({"x": REF["v"][-2:], "y": REF["v"][-2]}, "c", (Condition.steps_since_applied() >= 2,))
+    key = lambda r: (r["table"], r["at"], r["priority"], r["x"], r["y"])
+    configs = [*plain, late]
+    alone = [(i, *key(r)) for i, c in enumerate(configs) for r in apply_pattern(df, c, ["stream"], ["at"]).collect()]
+    together = apply_patterns(df, configs, ["stream"], ["at"]).collect()
+    assert sorted((r["config_idx"], *key(r)) for r in together) == sorted(alone) and len({r["config_idx"] for r in together}) == 3
+    capsys.readouterr()
+    apply_patterns(df, plain, ["stream"], ["at"]).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    with pytest.raises(ValueError, match="same output"):
+        apply_patterns(df, [plain[0], create_config({"z": REF["v"][-1]}, "a")], ["stream"], ["at"])

@@ -58,6 +58,18 @@ def test_evictions_match_a_simulation(spark):
         assert sorted(x["key"] for x in K.survivors(items, K.Selector(kind), 7).collect()) == sorted(k for k, _ in held)
 
 
+def test_ranks_of_large_tables_are_exact(spark):
+    """Beyond GROUP_LIMIT the ranks come from ranges; tied priorities and two tables of unlike size."""
+    r = random.Random(2)
+    rows = [("a" if i % 7 else "b", i, float(r.randrange(3)), i, i) for i in range(9000)]
+    items = spark.createDataFrame(rows, "table string, key long, priority double, insert_seq long, update_seq long").repartition(8)
+    for kind, place in (("fifo", lambda x: x[3]), ("lifo", lambda x: -x[3]), ("min_heap", lambda x: (x[2], x[4])), ("max_heap", lambda x: (-x[2], x[4]))):
+        want = [(t, x[1], n + 1) for t in "ab" for n, x in enumerate(sorted((x for x in rows if x[0] == t), key=place)[:2500])]
+        assert sorted((x["table"], x["key"], x["rank"]) for x in K.head(items, K.Selector(kind), 2500).collect()) == sorted(want)
+    assert sorted(x["key"] for x in K.survivors(items, K.Fifo(), 4000).where("table = 'a'").collect()) == sorted(x[1] for x in rows if x[0] == "a")[-4000:]
+    assert K.head(items.limit(0), K.Fifo(), 2500).count() == 0
+
+
 def test_sampling_follows_the_distribution(spark):
     items = spark.createDataFrame([("t", 1, 1.0), ("t", 2, 3.0), ("t", 3, 0.0), ("z", 4, 0.0), ("z", 5, 0.0)], "table string, key long, priority double")
     wanted = K.draws(items.select("table").distinct(), 4000, 3)
