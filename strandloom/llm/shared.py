@@ -68,8 +68,9 @@ def small_enough(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, floor: int = 500, most_hot: int = 20_000) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed``, a written table with one row for each key and in ``n`` how many rows have it.
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, floor: int = 500, most_hot: int = 20_000, how: str = "inner") -> DataFrame:
+    """Join (``how``: inner or left) of ``rows`` with ``keyed``, a written table with one row for each key and in ``n`` how
+    many rows have it.
 
     Rows of the keys that have more than 1 / ``most_hot`` of all rows (of which there are fewer than ``most_hot``, so
     that they can be broadcast) stay where they are; the others are shuffled. No task gets a hot key's rows.
@@ -77,7 +78,7 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, floor: in
     found = keyed.agg(F.sum(n).alias("total"), F.max(n).alias("top")).first()
     limit = max(floor, (found["total"] or 0) // most_hot)
     if (found["top"] or 0) <= limit:
-        return rows.join(keyed.drop(n), on)
+        return rows.join(keyed.drop(n), on, how)
     hot = F.broadcast(keyed.where(F.col(n) > limit).drop(n))
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(n) <= limit).drop(n), on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(n) <= limit).drop(n), on, how)
     return rows.join(hot, on).unionByName(cold)

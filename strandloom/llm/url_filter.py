@@ -1,9 +1,10 @@
 """Operator 1: URL filter. A blocked Bloom filter passes possible hits to an exact hash join.
 
 The list holds canonical URLs ``host/path``; an entry fits its host and every subdomain, for paths that start with
-its path, and the longest fitting entry gives the verdict. For each URL the keys that could be listed are formed (its
-host's suffixes times the path lengths that the list has), the Bloom filter drops nearly all of them inside the scan,
-and what is left is joined exactly with the list, which removes false positives.
+its path, and the longest fitting entry gives the verdict. Inside the scan the Bloom filter first drops host suffixes
+under which nothing is listed; for the others the keys that could be listed are formed (suffixes times the path lengths
+that the list has), the filter drops nearly all of them, and what is left is joined exactly with the list, which removes
+false positives. Rows of hot keys (``net/`` fits a large part of all URLs) and of hot URLs are joined where they are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut, join_hot
 from .text import mix
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -27,6 +29,8 @@ BLOCK_WORDS = 8  # 64-bit words in a block: one cache line
 PROBES = 8
 #: Code points of a listed path, without its slash, from which an entry is joined by itself and not through the filter.
 LONG = 2048
+#: Rows from which a URL is looked at as hot, whether or not it is listed.
+OFTEN = 500
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -74,51 +78,63 @@ def is_long() -> Column:
     return F.length("key") - F.instr("key", "/") >= LONG
 
 
-def long_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """(url, key, entry) for the long entries: an equi-join on host suffix and the path's first code points, exact."""
+def long_hits(urls: DataFrame, listed: DataFrame, deepest: int) -> DataFrame:
+    """(url, n, key, entry) for the long entries: an equi-join on host suffix and the path's first code points, exact."""
     cut_at = F.instr("key", "/")
     entries = listed.where(is_long()).select("key", "entry", F.substr(F.col("key"), F.lit(1), cut_at - 1).alias("_host"), F.substr(F.col("key"), cut_at).alias("_listed"))
     entries = entries.withColumn("_start", F.substring("_listed", 1, LONG + 1))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    near = urls.where(F.length("path") > LONG).select("url", "path", F.substring("path", 1, LONG + 1).alias("_start"), F.explode(suffixes).alias("_host"))
-    return near.join(entries, ["_host", "_start"]).where(F.startswith("path", "_listed")).select("url", "key", "entry")
+    first = F.greatest(F.lit(1), F.size(labels) - deepest + 1)
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    near = urls.where(F.length("path") > LONG).select("url", "n", "path", F.substring("path", 1, LONG + 1).alias("_start"), F.explode(suffixes).alias("_host"))
+    return near.join(entries, ["_host", "_start"]).where(F.startswith("path", "_listed")).select("url", "n", "key", "entry")
 
 
 def build_filter(listed: DataFrame, max_mb: int = 16) -> tuple[BlockedBloom, list[int]]:
-    """The filter over ``listed.key``, and the distinct lengths (in code points) of the listed paths.
+    """The filter over ``listed.key`` and the keys' hosts, and the distinct lengths (in code points) of the listed paths.
 
     Executors turn keys into bits and OR them; only the filter's words (at most ``max_mb``) and the path lengths (at
     most 2048: longer entries are left to ``long_hits``) come to the driver.
     """
     keys = listed.select("key").where(~is_long())
-    bloom = BlockedBloom(keys.count(), max_mb=max_mb)
+    every = keys.union(keys.select(F.substring_index("key", "/", 1)).distinct())  # a key has a slash, a host has none
+    bloom = BlockedBloom(every.count(), max_mb=max_mb)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, mask = bloom.set_bits(hashes_of(batch.column(0)))
             yield pa.record_batch([pa.array(word, pa.int64()), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-    words = keys.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words = every.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     bloom.words.reshape(-1)[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
     lengths = keys.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().collect()
     return bloom, sorted(r["n"] for r in lengths)
 
 
-def candidate_keys(hosts: list[str], paths: list[str], lengths: list[int]) -> tuple[np.ndarray, list[str]]:
-    """For each row the listed keys that would fit it: host suffixes at dots, times path prefixes of listed lengths."""
+def host_suffixes(hosts: set[str], bloom: BlockedBloom, deepest: int) -> dict[str, list[str]]:
+    """The suffixes at dots, of at most ``deepest`` labels, under which the filter may have an entry, by host."""
+    pairs = []
+    for host in hosts:
+        suffix = None
+        for label in reversed(host.rsplit(".", deepest)[-deepest:]):
+            suffix = label if suffix is None else f"{label}.{suffix}"
+            pairs.append((host, suffix))
+    out: dict[str, list[str]] = {host: [] for host in hosts}
+    if pairs:
+        hit = bloom.might_have(hashes_of(pa.array([s for _, s in pairs], pa.string())))
+        for i in np.flatnonzero(hit).tolist():
+            out[pairs[i][0]].append(pairs[i][1])
+    return out
+
+
+def candidate_keys(hosts: list[str], paths: list[str], lengths: list[int], suffixes: dict[str, list[str]]) -> tuple[np.ndarray, list[str]]:
+    """For each row the listed keys that would fit it: its host's ``suffixes`` times path prefixes of listed lengths."""
     rows, keys = [], []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        prefixes = [path[:n] for n in lengths if n <= len(path)]
-        if not prefixes:
-            continue
-        at = 0
-        while True:
-            keys += [host[at:] + p for p in prefixes]
-            rows += [i] * len(prefixes)
-            at = host.find(".", at) + 1
-            if not at:
-                break
+        if own := suffixes[host]:
+            prefixes = [path[:n] for n in lengths if n <= len(path)]
+            keys += [suffix + p for suffix in own for p in prefixes]
+            rows += [i] * (len(own) * len(prefixes))
     return np.array(rows, np.int64), keys
 
 
@@ -126,34 +142,47 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") ->
     """page_id, url, host, path, ``listed_key`` (the entry that decides, or null), its ``priority``, and ``verdict``.
 
     ``listed`` has (key, verdict, priority): of the entries that fit a URL, those of the highest priority count, and of
-    them the longest. A key listed twice keeps the later verdict in the alphabet (``block`` after ``allow``). The join
-    is made on distinct URLs, so one URL that fills a third of the table costs one row. A null URL, or one without
+    them the longest. A key listed twice keeps the later verdict in the alphabet (``block`` after ``allow``). The list is
+    joined with distinct URLs, so one URL that fills a third of the table costs one row there, and its rows stay where
+    they are when they get their verdict. A null URL, or one without
     ``://``, has empty host and path, fits nothing and gets the default. One row per input row; extra columns are left
     out. A key without ``/`` raises.
     """
     listed = listed.groupBy("key").agg(F.max(F.struct("priority", "verdict")).alias("entry"))
-    odd = listed.agg(F.count_if(~F.coalesce(F.col("key").contains("/"), F.lit(False))).alias("bad"), F.count_if(is_long()).alias("long")).first()
+    depth = F.size(F.split(F.substring_index("key", "/", 1), r"\.", -1))
+    odd = listed.agg(F.count_if(~F.coalesce(F.col("key").contains("/"), F.lit(False))).alias("bad"), F.count_if(is_long()).alias("long"), F.max(depth).alias("deepest")).first()
     if odd["bad"]:
         raise ValueError(f"{odd['bad']} listed keys have no /")
+    deepest = odd["deepest"] or 1
     bloom, lengths = build_filter(listed)
     shared = pages.sparkSession.sparkContext.broadcast((bloom, lengths))  # bounded by max_mb and 2048 lengths
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, lengths = shared.value
         for batch in batches:
-            rows, keys = candidate_keys(batch.column(1).to_pylist(), batch.column(2).to_pylist(), lengths)
+            hosts = batch.column(1).to_pylist()
+            rows, keys = candidate_keys(hosts, batch.column(2).to_pylist(), lengths, host_suffixes(set(hosts), bloom, deepest))
             found = pa.array(keys, pa.string())
             hit = bloom.might_have(hashes_of(found)) if keys else np.zeros(0, bool)
-            yield pa.record_batch([pc.take(batch.column(0), pa.array(rows[hit])), found.filter(pa.array(hit))], names=["url", "key"])
+            rows = np.concatenate([rows[hit], np.flatnonzero(batch.column(3).to_numpy() > OFTEN)])
+            keys = pa.concat_arrays([found.filter(pa.array(hit)), pa.nulls(len(rows) - int(hit.sum()), pa.string())])
+            yield pa.record_batch([pc.take(batch.column(0), pa.array(rows)), pc.take(batch.column(3), pa.array(rows)), keys], names=["url", "n", "key"])
 
     host, path = host_path(F.col("url"))
-    urls = pages.select("url").where(F.col("url").isNotNull()).distinct().select("url", host.alias("host"), path.alias("path"))
-    exact = urls.mapInArrow(hits, "url string, key string").join(listed, "key").select("url", "key", "entry")
+    counted = pages.select("url").where(F.col("url").isNotNull()).groupBy("url").agg(F.count("*").alias("n"))
+    urls = counted.select("url", host.alias("host"), path.alias("path"), "n")
+    likely = cut(urls.mapInArrow(hits, "url string, n long, key string"), "url-hits")
+    named = cut(likely.groupBy("key").agg(F.count("*").alias("rows")).join(listed, "key"), "url-keys")
+    exact = join_hot(likely, named, ["key"], "rows").select("url", "n", "key", "entry")
+    often = likely.where("key IS NULL").select("url", "n", "key", F.lit(None).cast(exact.schema["entry"].dataType).alias("entry"))
+    exact = exact.union(often)
     if odd["long"]:
-        exact = exact.union(long_hits(urls, listed))
+        exact = exact.union(long_hits(urls, listed, deepest))
     fit = F.struct(F.col("entry.priority").alias("priority"), F.length("key").alias("n"), F.col("key"), F.col("entry.verdict").alias("verdict"))
-    best = exact.groupBy("url").agg(F.max(fit).alias("best"))
-    judged = pages.select("page_id", "url").join(best, "url", "left")
+    best = cut(exact.groupBy("url", "n").agg(F.max(F.when(F.col("entry").isNotNull(), fit)).alias("best")), "url-verdicts")
+    mine = pages.select("page_id", "url")
+    judged = join_hot(mine.where("url IS NOT NULL"), best, ["url"], "n", floor=OFTEN, how="left")
+    judged = judged.unionByName(mine.where("url IS NULL").withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
     return judged.select(
         "page_id", "url", host.alias("host"), path.alias("path"), F.col("best.key").alias("listed_key"), F.col("best.priority").alias("priority"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

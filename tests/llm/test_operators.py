@@ -345,6 +345,16 @@ def test_url_filter(spark):
         assert got[i] == (host, path, best[2], best[3]), u
 
 
+def test_url_filter_hot_urls_and_deep_hosts(spark):
+    """URLs of a third of all rows each (listed, not listed, null), hosts of many labels, and an empty table."""
+    urls = ["http://hot.net/", "http://free.com/", None] * 700 + ["http://" + "a." * 20_000 + "net/x", "http://b.c.d.spam.org/y", "http://c.org/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("net/", "block", 1), ("d.spam.org/", "low", 0), ("/", "odd", 0)], "key string, verdict string, priority int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, listed).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block", "allow", "allow"] * 700 + ["block", "low", "allow"]
+    assert url_filter.filter_urls(pages.limit(0), listed).count() == 0 and url_filter.filter_urls(pages, listed.limit(0)).where("verdict <> 'allow'").count() == 0
+
+
 def test_url_filter_long_paths(spark):
     long = "/" + "é" * 2100
     urls = [f"http://a.x.org{long}", f"http://x.org{long}/more?q", f"http://ax.org{long}", f"http://x.org{long[:-1]}", f"http://y.org/{'p' * 2048}", f"http://y.org/{'p' * 2047}", "http://x.org/"]
