@@ -181,7 +181,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") ->
     fit = F.struct(F.col("entry.priority").alias("priority"), F.length("key").alias("n"), F.col("key"), F.col("entry.verdict").alias("verdict"))
     best = cut(exact.groupBy("url", "n").agg(F.max(F.when(F.col("entry").isNotNull(), fit)).alias("best")), "url-verdicts")
     mine = pages.select("page_id", "url")
-    judged = join_hot(mine.where("url IS NOT NULL"), best, ["url"], "n", floor=OFTEN, how="left")
+    # ``best`` grows with the pages: only its hot rows are broadcast, whatever size its files have.
+    judged = join_hot(mine.where("url IS NOT NULL"), best.hint("merge"), ["url"], "n", floor=OFTEN, how="left")
     judged = judged.unionByName(mine.where("url IS NULL").withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
     return judged.select(
         "page_id", "url", host.alias("host"), path.alias("path"), F.col("best.key").alias("listed_key"), F.col("best.priority").alias("priority"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
