@@ -1,7 +1,7 @@
 """The replay store: tables of items with a sampler, a remover, sizes and a rate limit, over DataFrames.
 
-A :class:`Server` holds a DataFrame of items per table, with their data columns; every call returns or replaces
-DataFrames and leaves their evaluation to Spark. :class:`Client` has the calls of users. Operations are applied in batches: a refused
+A :class:`Server` holds a DataFrame of items per table, with their data columns, and one of the chunks that items over
+chunks share; every call returns or replaces DataFrames and leaves their evaluation to Spark. :class:`Client` has the calls of users. Operations are applied in batches: a refused
 batch raises :class:`Deferred`, which names the limit, and can be tried again.
 """
 
@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.operators import chunks as C
 from strandloom.operators import limiter as L
 from strandloom.operators import mutations, selectors
 from strandloom.operators.patterns import PatternConfig, apply_patterns
 from strandloom.operators.selectors import Selector
-from strandloom.operators.trajectory import check_signature, explode_timesteps
+from strandloom.operators.trajectory import assemble, check_signature, explode_timesteps
 from strandloom.sources.checkpoint import Checkpointer, shared_folder
 
 
@@ -111,6 +112,7 @@ class Server:
     checkpointer: Checkpointer | None = None
     _states: dict[str, _State] = field(default_factory=dict)
     _seq: int = 0
+    _chunks: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if not self.tables:
@@ -196,6 +198,47 @@ class Server:
             self._tell(t, "delete", kept.join(left.select("table", "key"), ["table", "key"], "left_anti"))
         return n
 
+    def insert_trajectories(self, name: str, items: DataFrame, chunks: DataFrame) -> int:
+        """Inserts items (key, priority, ``chunk_keys`` and ``columns`` of slices) over ``chunks`` (chunk_key, data).
+
+        Tables share chunks: each is held once, as long as an item of any table reads it. Invalid items, and items of
+        chunks that neither ``chunks`` nor the server has, raise a ValueError before anything changes.
+        """
+        items = self._settle(items)
+        if mutations.invalid_items(items).limit(1).count():
+            raise ValueError("an item is empty, has a NaN priority, or lists other chunks than its slices read")
+        held = chunks.select("chunk_key", "data").dropDuplicates(["chunk_key"])
+        if self._chunks is not None:
+            held = self._chunks.unionByName(held.join(self._chunks.select("chunk_key"), "chunk_key", "left_anti"))
+        held = self._settle(held)
+        if items.select(F.explode("chunk_keys").alias("chunk_key")).join(held, "chunk_key", "left_anti").limit(1).count():
+            raise ValueError("an item refers to a chunk that is missing")
+        n = self.insert(name, items)
+        self._chunks = held
+        self._chunks = self._settle(self.chunks())
+        return n
+
+    def _references(self) -> DataFrame | None:
+        out = None
+        for name, s in self._states.items():
+            if s.items is not None and "chunk_keys" in s.items.columns:
+                own = s.items.select(F.lit(name).alias("table"), "key", F.explode("chunk_keys").alias("chunk_key"))
+                out = own if out is None else out.unionByName(own)
+        return out
+
+    def chunks(self) -> DataFrame | None:
+        """The chunks that items of any table read; None if there has never been one."""
+        refs = self._references()
+        if self._chunks is None or refs is None:
+            return self._chunks if self._chunks is None else self._chunks.limit(0)
+        return C.live_chunks(self._chunks, refs)
+
+    def cells(self, rows: DataFrame, key: str) -> DataFrame:
+        """(key, column, values): the cells of items over chunks, of a table's ``items`` or of a sample (by ``draw``)."""
+        columns = rows.select(key, F.posexplode("columns").alias("column", "_c"))
+        slices = columns.select(key, "column", F.posexplode("_c.slices").alias("slice_no", "_s"))
+        return assemble(slices.select(key, "column", "slice_no", "_s.chunk_key", "_s.offset", "_s.length"), self._chunks, [key, "column"])
+
     def sample(self, name: str, num_samples: int = 1, seed: int = 0) -> DataFrame:
         """``num_samples`` draws with replacement from the table as it is: draw, info, and the items' data.
 
@@ -275,6 +318,8 @@ class Server:
         if self.checkpointer is None:
             raise ValueError("this server has no checkpointer")
         tables = {f"items-{n}": s.items for n, s in self._states.items() if s.items is not None}
+        if self._chunks is not None:
+            tables["chunks"] = self.chunks()
         meta = {"seq": self._seq, "tables": [{"name": t.name, "sampler": asdict(t.sampler), "remover": asdict(t.remover), "max_size": t.max_size, "max_times_sampled": t.max_times_sampled, "rate_limiter": asdict(t.rate_limiter), "signature": t.signature.json() if t.signature is not None else None, "counters": [s.inserts, s.samples, s.deletes, s.unique]} for t, s in ((t, self._states[t.name]) for t in self.tables)]}
         return self.checkpointer.save(tables, meta, keep_latest)
 
@@ -290,6 +335,10 @@ class Server:
             if found is not None and found.groupBy("key").count().where("count > 1").limit(1).count():
                 raise ValueError(f"the checkpoint has a key of table {m['name']} twice")
             self._states[m["name"]] = _State(tables.get(f"items-{m['name']}"), *m["counters"])
+        self._chunks = tables.get("chunks")
+        refs = self._references()
+        if refs is not None and (self._chunks is None or refs.join(self._chunks, "chunk_key", "left_anti").limit(1).count()):
+            raise ValueError("the checkpoint lacks a chunk that an item refers to")
         self.tables, self._seq = made, meta["seq"]
 
 

@@ -19,6 +19,7 @@ from strandloom.operators import mutations as M
 from strandloom.operators import selectors as K
 from strandloom.operators import trajectory as TR
 from strandloom.operators.patterns import Condition, apply_pattern, apply_patterns, create_config, create_reference_step, td_error
+from strandloom.plans.replay import Server, Table
 from strandloom.sources import steps as S
 from strandloom.sources.checkpoint import Checkpointer
 
@@ -664,6 +665,32 @@ def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.load()[0]["items"].select("table", "key", F.col("priority").cast("long").alias("priority"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n FROM conversations),
+w AS (SELECT conv_id, string_agg(n::VARCHAR, ',' ORDER BY turn) AS lengths, row_number() OVER (ORDER BY conv_id DESC) AS r FROM c GROUP BY conv_id)
+SELECT 'all' AS "table", conv_id::BIGINT AS key, lengths FROM w UNION ALL SELECT 'recent', conv_id::BIGINT, lengths FROM w WHERE r <= 50""")
+def chunked_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations over chunks of two turns, in a table of all and one of the last 50, which share the chunks: saved,
+    restored in another server, and read from the restored chunks."""
+    turns = _turns(spark, sf_dir)
+    chunks = C.build_chunks(turns, ["conv_id"], "turn", "n", 2)
+    refs = C.assign_chunks(turns, ["conv_id"], "turn", "n", 2).join(chunks.select("conv_id", "chunk_no", "chunk_key"), ["conv_id", "chunk_no"])
+    part = F.struct("slice_no", "chunk_key", "offset", "length", F.lit(0).alias("index"))
+    slices = C.merge_slices(refs, ["conv_id"], "turn").groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("s"))
+    made = slices.select(F.col("conv_id").cast("long").alias("key"), F.lit(1.0).alias("priority"), F.array_distinct("s.chunk_key").alias("chunk_keys"), F.array(F.struct(F.lit(False).alias("squeeze"), F.col("s").alias("slices"))).alias("columns"))
+    tables = [Table(name, K.Uniform(), K.Fifo(), size, L.MinSize(1)) for name, size in (("all", 1 << 40), ("recent", 50))]
+    server = Server(spark, tables, Checkpointer.temporary(spark))
+    for t in tables:
+        server.insert_trajectories(t.name, made, chunks)
+    server.checkpoint()
+    again = Server(spark, tables, server.checkpointer)
+    out = None
+    for t in tables:
+        cells = again.cells(again.items(t.name), "key")
+        own = cells.select(F.lit(t.name).alias("table"), "key", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("lengths"))
+        out = own if out is None else out.union(own)
+    return out
+
+
 @query("SELECT conv_id FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) WHERE n <> 4")
 def signature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = _turns(spark, sf_dir).groupBy("conv_id").agg(F.collect_list("n").alias("n"))

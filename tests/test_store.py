@@ -141,6 +141,37 @@ def test_store(spark, tmp_path):
         client.insert(spark.range(1), {"q": -1.0})
 
 
+def test_items_share_chunks(spark, tmp_path):
+    server = Server(spark, [Table("a", K.Fifo(), K.Fifo(), 2, L.MinSize(1)), Table("b", K.Fifo(), K.Fifo(), 2, L.MinSize(1))], Checkpointer(spark, str(tmp_path / "c")))
+    chunks = spark.createDataFrame([(c, [c * 10, c * 10 + 1]) for c in range(5)], "chunk_key long, data array<long>")
+
+    def items(*rows):
+        made = [(k, 1.0, said, [(False, [(c, o, n, 0) for c, o, n in slices])]) for k, said, slices in rows]
+        return spark.createDataFrame(made, "key long, priority double, chunk_keys array<long>, columns array<struct<squeeze boolean, slices array<struct<chunk_key long, offset int, length int, index int>>>>")
+
+    held = lambda s: sorted(r["chunk_key"] for r in s.chunks().collect())
+    for bad in (items((1, [1], [(0, 0, 1)])), items((1, [9], [(9, 0, 1)])), items((1, [], []))):
+        with pytest.raises(ValueError):
+            server.insert_trajectories("a", bad, chunks)
+    assert server.chunks() is None and server.items("a") is None
+    assert server.insert_trajectories("a", items((1, [0], [(0, 0, 2)]), (2, [0, 1], [(0, 1, 1), (1, 0, 2)])), chunks) == 2
+    assert held(server) == [0, 1]
+    server.insert_trajectories("b", items((7, [1, 2], [(1, 1, 1), (2, 0, 1)])), chunks.where("chunk_key = 2"))  # chunk 1 is there
+    server.insert_trajectories("a", items((3, [3], [(3, 0, 1)]), (4, [4], [(4, 1, 1)])), chunks)  # both older items go
+    assert held(server) == [1, 2, 3, 4]
+    drawn = server.sample("b", 1)
+    assert [(r["column"], r["values"]) for r in server.cells(drawn, "draw").collect()] == [(0, [11, 20])]
+    server.mutate("b", deletes=spark.createDataFrame([(7,)], "key long"))
+    folder = server.checkpoint()
+    again = Server(spark, server.tables, Checkpointer(spark, str(tmp_path / "c")))
+    assert held(again) == [3, 4] and sorted(r["values"] for r in again.cells(again.items("a"), "key").collect()) == [[30], [41]]
+    spark.read.parquet(f"{folder}/chunks").where("chunk_key = 3").write.parquet(str(tmp_path / "less"))
+    (tmp_path / "c").joinpath(folder.rsplit("/", 1)[1], "chunks").rename(tmp_path / "old")
+    (tmp_path / "less").rename(tmp_path / "c" / folder.rsplit("/", 1)[1] / "chunks")
+    with pytest.raises(ValueError, match="lacks a chunk"):
+        Server(spark, server.tables, Checkpointer(spark, str(tmp_path / "c")))
+
+
 def test_extension_signature_and_patterns(spark):
     table = Table("a", K.Fifo(), K.Fifo(), 10, L.MinSize(1), signature=T.StructType([T.StructField("x", T.ArrayType(T.LongType()))]))
     server = Server(spark, [table, Table("seen", K.Fifo(), K.Fifo(), 10, L.MinSize(1))])
