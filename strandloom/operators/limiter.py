@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranges import by_ranges, previous, running_sum
+
 HUGE = sys.float_info.max
 
 
@@ -109,23 +111,25 @@ def limiter_state(ops: DataFrame, limiter: RateLimiter, keys: tuple[str, ...] =
 def queue_replay(ops: DataFrame, keys: tuple[str, ...] = ("table",), order: str = "op_seq") -> DataFrame:
     """(keys, sample op, key): what a queue of items sampled once gives to each sample of an admitted log (see :func:`admit`).
 
-    The k-th sample gets the k-th insert: both are numbered and joined.
+    The k-th sample gets the k-th insert: both are numbered, by ranges of the log, and joined.
     """
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    ins = ops.where("op = 'insert'").select(*keys, "key", number.alias("_k"))
-    sam = ops.where("op = 'sample'").select(*keys, F.col(order).alias("sampled_at"), number.alias("_k"))
-    return sam.join(ins, [*keys, "_k"]).drop("_k")
+    names = list(keys)
+    numbered = ops.where("op IN ('insert', 'sample')").select(*names, "op", "key", order)
+    numbered = running_sum(by_ranges(numbered, [*names, "op"], [order]), [*names, "op"], [order], F.lit(1), "_k")
+    ins = numbered.where("op = 'insert'").select(*names, "key", "_k")
+    sam = numbered.where("op = 'sample'").select(*names, F.col(order).alias("sampled_at"), "_k")
+    return sam.join(ins, [*names, "_k"]).drop("_k")
 
 
 def stack_replay(ops: DataFrame, keys: tuple[str, ...] = ("table",), order: str = "op_seq") -> DataFrame:
     """The same for a stack: a sample takes the newest insert that no sample has taken.
 
     Inserts and samples match like brackets: an insert at depth d is taken by the first later sample that leaves depth
-    d - 1. Depths are running sums, and matches the neighbours of equal depth.
+    d - 1. Depths are running sums, and matches the neighbours of equal depth; both are found by ranges.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    signed = ops.where("op IN ('insert', 'sample')").withColumn("_d", F.sum(F.when(F.col("op") == "insert", 1).otherwise(-1)).over(w))
+    names = list(keys)
+    signed = by_ranges(ops.where("op IN ('insert', 'sample')").select(*names, "op", "key", order), names, [order])
+    signed = running_sum(signed, names, [order], F.when(F.col("op") == "insert", 1).otherwise(-1), "_d").drop("_part")
     level = signed.withColumn("_level", F.when(F.col("op") == "insert", F.col("_d")).otherwise(F.col("_d") + 1))
-    near = Window.partitionBy(*keys, "_level").orderBy(order)
-    level = level.withColumns({"_op": F.lag("op").over(near), "_key": F.lag("key").over(near)})
-    return level.where("op = 'sample' AND _op = 'insert'").select(*keys, F.col("_key").alias("key"), F.col(order).alias("sampled_at"))
+    level = previous(by_ranges(level, [*names, "_level"], [order]), [*names, "_level"], [order], ["op", "key"], "_before")
+    return level.where("op = 'sample' AND _before.op = 'insert'").select(*names, F.col("_before.key").alias("key"), F.col(order).alias("sampled_at"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranges import by_ranges, running_sum
 from strandloom.sources.checkpoint import shared_folder
 
 
@@ -65,13 +66,8 @@ def _first(items: DataFrame, order: list[Column], k: int) -> DataFrame:
     """
     if k <= GROUP_LIMIT:
         return items.withColumn("rank", F.row_number().over(Window.partitionBy("table").orderBy(*order))).where(F.col("rank") <= k)
-    shared_folder(items.sparkSession)
-    placed = items.repartitionByRange("table", *order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    counts = placed.groupBy("table", "_part").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("table").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("table", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")).where(F.col("_start") < k)
-    inside = Window.partitionBy("table", "_part").orderBy(*order)
-    ranked = placed.join(starts, ["table", "_part"]).withColumn("rank", (F.col("_start") + F.row_number().over(inside)).cast("int"))
+    placed = by_ranges(items, ["table"], order)
+    ranked = running_sum(placed, ["table"], order, F.lit(1), "rank", below=k).withColumn("rank", F.col("rank").cast("int"))
     return ranked.where(F.col("rank") <= k).select(*items.columns, "rank")
 
 
@@ -131,12 +127,13 @@ def draws(tables: DataFrame, num_samples: int, seed: int) -> DataFrame:
     return numbers.withColumn("u", F.conv(hexed, 16, 10).cast("double") / F.lit(float(1 << 52)))
 
 
-def sample(items: DataFrame, wanted: DataFrame, selector: Selector, buckets: int = 1024) -> DataFrame:
+def sample(items: DataFrame, wanted: DataFrame, selector: Selector, buckets: int = 1024, cell: int = 1024) -> DataFrame:
     """(table, draw, key, probability, table_size) for draws from uniform or prioritized tables, with replacement.
 
-    Two-level inverse distribution: items are dealt over ``buckets`` key hashes a table, running sums are made inside
-    each bucket and over the buckets (a number fixed by parameter), a draw finds its bucket in the short list of bucket
-    ends, and then its item by an equi-join on (table, bucket) with a range condition. No table is sorted whole.
+    Three-level inverse distribution: items are dealt over ``buckets`` key hashes a table, and in the order of their keys
+    over cells of ``cell`` items; running sums are made inside each bucket and over the buckets. A draw finds its bucket
+    and then its cell in short lists of their ends, and its item by an equi-join on the cell with a range condition, so
+    it meets ``cell`` items at most. No table is sorted whole.
     """
     if selector.deterministic:
         chosen = head(items, selector).join(items.groupBy("table").agg(F.count("*").alias("table_size")), "table")
@@ -147,7 +144,9 @@ def sample(items: DataFrame, wanted: DataFrame, selector: Selector, buckets: int
     # A table whose weights are all zero is drawn from uniformly.
     rows = rows.join(totals, "table").withColumn("w", F.when(F.col("total") > 0, F.col("w")).otherwise(F.lit(1.0)))
     inside = Window.partitionBy("table", "bucket").orderBy("key")
-    rows = rows.withColumn("hi", F.sum("w").over(inside)).withColumn("lo", F.coalesce(F.lag("hi").over(inside), F.lit(0.0)))
+    rows = rows.withColumns({"hi": F.sum("w").over(inside), "cell": F.floor((F.row_number().over(inside) - 1) / cell)}).withColumn("lo", F.coalesce(F.lag("hi").over(inside), F.lit(0.0)))
+    shared_folder(items.sparkSession)
+    rows = rows.checkpoint()  # read three times below: written once instead of sorted three times
     sums = rows.groupBy("table", "bucket").agg(F.max("hi").alias("s"))
     ends = sums.withColumn("end", F.sum("s").over(Window.partitionBy("table").orderBy("bucket")))
     lists = ends.groupBy("table").agg(F.sort_array(F.collect_list(F.struct("end", "bucket", "s"))).alias("ends"))  # at most ``buckets`` entries
@@ -156,6 +155,10 @@ def sample(items: DataFrame, wanted: DataFrame, selector: Selector, buckets: int
     some = F.filter("ends", lambda e: e["s"] > 0)
     found = F.coalesce(F.get(F.filter(some, lambda e: e["end"] > F.col("at")), F.lit(0)), F.get(some, F.size(some) - 1))  # rounding: the last
     placed = placed.withColumn("e", found).select("table", "draw", F.col("e.bucket").alias("bucket"), F.least(F.col("at") - (F.col("e.end") - F.col("e.s")), F.col("e.s") * (1 - 1e-15)).alias("at"))
-    hit = placed.join(rows, ["table", "bucket"]).where((F.col("at") < F.col("hi")) & (F.greatest(F.col("at"), F.lit(0.0)) >= F.col("lo")) & (F.col("w") > 0))
+    cells = rows.groupBy("table", "bucket", "cell").agg(F.max("hi").alias("end"))
+    cells = cells.groupBy("table", "bucket").agg(F.sort_array(F.collect_list(F.struct("cell", "end"))).alias("cells"))
+    first = F.get(F.filter("cells", lambda c: c["end"] > F.col("at")), F.lit(0))["cell"]  # sums do not fall: the item is in it
+    placed = placed.join(cells, ["table", "bucket"]).withColumn("cell", first).drop("cells")
+    hit = placed.join(rows, ["table", "bucket", "cell"]).where((F.col("at") < F.col("hi")) & (F.greatest(F.col("at"), F.lit(0.0)) >= F.col("lo")) & (F.col("w") > 0))
     share = F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1 / F.col("n"))
     return hit.select("table", "draw", "key", share.alias("probability"), F.col("n").alias("table_size"))

@@ -11,6 +11,7 @@ from strandloom.operators import mutations as M
 from strandloom.operators import selectors as K
 from strandloom.operators import trajectory as TR
 from strandloom.operators.patterns import create_config, create_reference_step
+from strandloom.operators.ranges import by_ranges, previous, running_sum
 from strandloom.plans.replay import Client, Deferred, SampleOptions, Server, Table, TableExtension, copy_on_first_sample
 from strandloom.sources.checkpoint import Checkpointer
 from strandloom.streaming.patterns import admit_stream, apply_batches, sliding_stream
@@ -114,6 +115,42 @@ def test_stack_and_queue_replay(spark):
     assert sorted((x["key"], x["sampled_at"]) for x in L.queue_replay(df).collect()) == sorted(queue)
 
 
+def test_ranges(spark):
+    """Sums, neighbours and replays of tables that fill many ranges, beside tables that share one."""
+    r = random.Random(6)
+    log = sorted({(t, i): r.choice(["insert", "insert", "sample"]) for t in "abbb" for i in r.sample(range(900), 200 if t == "b" else 20)}.items())
+    df = spark.createDataFrame([(t, i, op, i) for (t, i), op in log], "table string, op_seq long, op string, key long").repartition(5)
+    sums, before, held, line, stack, queue = {}, {}, {}, {}, [], []
+    for (t, i), op in log:
+        sums[t, i] = sum(x == "insert" for (u, j), x in log if u == t and j <= i)
+        before[t, i] = max((j for (u, j), _ in log if u == t and j < i), default=None)
+    admitted = []
+    for (t, i), op in log:
+        if op == "sample" and not held.get(t):
+            continue
+        admitted.append((t, i, op, i))
+        if op == "insert":
+            held.setdefault(t, []).append(i)
+            line.setdefault(t, []).append(i)
+        else:
+            stack.append((t, held[t].pop(), i))
+            queue.append((t, line[t].pop(0), i))
+    kept = spark.createDataFrame(admitted, "table string, op_seq long, op string, key long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = by_ranges(df, ["table"], ["op_seq"])
+        assert placed.where("table = 'b'").select("_part").distinct().count() > 1
+        summed = running_sum(placed, ["table"], ["op_seq"], F.when(F.col("op") == "insert", 1).otherwise(0), "n")
+        assert {(x["table"], x["op_seq"]): x["n"] for x in summed.collect()} == sums
+        near = previous(placed, ["table"], ["op_seq"], ["op_seq"], "p").select("table", "op_seq", F.col("p.op_seq").alias("p"))
+        assert {(x["table"], x["op_seq"]): x["p"] for x in near.collect()} == before
+        for replay, want in ((L.stack_replay, stack), (L.queue_replay, queue)):
+            assert sorted((x["table"], x["key"], x["sampled_at"]) for x in replay(kept).collect()) == sorted(want)
+            assert replay(kept.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_store(spark, tmp_path):
     checkpoints = Checkpointer(spark, str(tmp_path / "c"))
     server = Server(spark, [Table("d", K.Prioritized(1.0), K.Fifo(), 3, L.MinSize(2)), Table.queue("q", 2), Table("seen", K.Uniform(), K.Fifo(), 10, L.MinSize(1))], checkpoints)
