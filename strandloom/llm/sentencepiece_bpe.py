@@ -163,9 +163,9 @@ class PieceModel:
             early = same[rank[same] <= level[same]]
             if len(early):
                 bad = np.unique(owner[early])
-                mine = np.isin(before_owner, bad)
-                for o in bad:
-                    odd.append((int(o), self._one_by_one(before[mine][before_owner[mine] == o].tolist())))
+                ends = np.searchsorted(before_owner, bad, side="right")
+                for o, a, b in zip(bad.tolist(), np.searchsorted(before_owner, bad).tolist(), ends.tolist(), strict=True):
+                    odd.append((o, self._one_by_one(before[a:b].tolist())))
                 ok = ~np.isin(owner, bad)
                 symbols, owner, rank, merged = symbols[ok], owner[ok], rank[ok], merged[ok]
         done_s += [np.array(s, np.int32) for _, s in odd]

@@ -12,12 +12,14 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where the session has none (as in tests) a local one is set."""
+    """The folder in ``spark.checkpoint.dir``; only a local session that has none (as in tests) gets one, a cluster never."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
     return context.getCheckpointDir().rstrip("/")
 
