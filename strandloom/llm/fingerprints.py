@@ -7,11 +7,12 @@ are compared by a bounded sum of bucket, quotient and length differences, scaled
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import slices, strings
@@ -67,6 +68,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1.0 - score / FAR)
 
 
+def range_number(value: Column, bounds: list[int]) -> Column:
+    """The range of ``value`` among ascending bounds, a number that rises with it; 0 for null and the lowest.
+
+    Bounds are searched in two steps, blocks first, so that a row meets some 2 sqrt(n) of n bounds.
+    """
+    width = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    if not blocks:
+        return F.lit(0)
+    passed = lambda some: F.aggregate(some, F.lit(0), lambda n, b: n + (value > b).cast("int"))
+    block = passed(F.lit([b[-1] for b in blocks]).cast("array<long>"))
+    inner = F.get(F.array(*[F.lit(b).cast("array<long>") for b in blocks]), block)
+    return F.coalesce(block * width + F.coalesce(passed(inner), F.lit(0)), F.lit(0))
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, text, next_text): every document and the one after it by ascending doc_id; after the last comes the first.
 
@@ -79,9 +95,9 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ids = docs.select("doc_id")
     n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
     bounds = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] or []  # n - 1 numbers
-    bounds = sorted(set(bounds))
+    bounds = sorted({int(b) for b in bounds})
     # Rows of one id that fills many ranges stay in one: ids are meant to be unique, and ties need each other's order.
-    number = F.expr(f"coalesce(aggregate(array({','.join(f'{int(b)}L' for b in bounds)}), 0, (n, b) -> n + int(doc_id > b)), 0)") if bounds else F.lit(0)
+    number = range_number(F.col("doc_id"), bounds)
     ranged = docs.withColumn("range", number)
     first = ids.withColumn("range", number).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id")).alias("m")).select("range", "m.doc_id").orderBy("range").collect()  # one row per range
     if not first:

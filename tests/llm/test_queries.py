@@ -95,6 +95,15 @@ def test_op4(spark, sf):
         assert prints[d] == (bytes(head) + codes).hex()
 
 
+def test_range_numbers_rise(spark):
+    for m in (0, 1, 2, 5, 9, 30):
+        bounds = [3 * i for i in range(m)]
+        df = spark.createDataFrame([(None,), *[(i,) for i in range(-2, 100)]], "x long")
+        got = [r["n"] for r in df.select("x", fingerprints.range_number(F.col("x"), bounds).alias("n")).orderBy(F.asc_nulls_first("x")).collect()]
+        place = [0, *[sum(b < i for b in bounds) for i in range(-2, 100)]]
+        assert got == sorted(got) and [a != b for a, b in zip(got, got[1:])] == [a != b for a, b in zip(place, place[1:])]
+
+
 def naive_rung(good, alpha, level):
     """The last rung certified for these documents' ratios."""
     last = None
