@@ -60,6 +60,16 @@ def require_cells(values: Column) -> Column:
     return F.when(F.exists(values, lambda x: x.isNull()), F.raise_error(F.lit("a column refers to cells that are missing"))).otherwise(values)
 
 
+def same_shape(values: Column) -> Column:
+    """Whether the cells of a column, themselves arrays, are equally long; a missing cell has no shape to agree."""
+    return F.forall(values, lambda x: F.coalesce(F.size(x) == F.size(F.get(values, F.lit(0))), F.lit(False)))
+
+
+def require_same_shape(values: Column) -> Column:
+    """The column; an error where its cells differ in shape."""
+    return F.when(same_shape(values), values).otherwise(F.raise_error(F.lit("a column refers to cells of different shapes")))
+
+
 def chunk_keys(columns: Column) -> Column:
     """Distinct chunk keys of a flat trajectory, in the order first seen."""
     return F.array_distinct(F.flatten(F.transform(columns, lambda c: F.transform(c["slices"], lambda s: s["chunk_key"]))))

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_chunks(steps: DataFrame, stream: Sequence[str], step: str, column: str, max_chunk_length: int) -> DataFrame:
+def assign_chunks(steps: DataFrame, stream: Sequence[str], step: str, column: str, max_chunk_length: int, flush: Column | None = None) -> DataFrame:
     """One row per non-null cell: stream columns, step, ``chunk_no``, ``offset`` in the chunk, and the cell.
 
-    A chunk closes after ``max_chunk_length`` cells or at the end of the stream.
+    A chunk closes after ``max_chunk_length`` cells, after a step where ``flush`` is true (whether or not it has a cell),
+    or at the end of the stream.
     """
     if max_chunk_length < 1:
         raise ValueError("max_chunk_length must be positive")
-    at = F.row_number().over(Window.partitionBy(*stream).orderBy(step)) - 1
-    cells = steps.where(F.col(column).isNotNull()).select(*stream, step, column, at.alias("_at"))
-    return cells.select(*stream, step, column, F.floor(F.col("_at") / max_chunk_length).cast("long").alias("chunk_no"), (F.col("_at") % max_chunk_length).alias("offset"))
+    w = Window.partitionBy(*stream).orderBy(step)
+    if flush is None:
+        cells = steps.where(F.col(column).isNotNull()).select(*stream, step, column, (F.row_number().over(w) - 1).alias("_at"))
+        return cells.select(*stream, step, column, F.floor(F.col("_at") / max_chunk_length).cast("long").alias("chunk_no"), (F.col("_at") % max_chunk_length).alias("offset"))
+    before = F.sum(F.coalesce(flush.cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cells = steps.select(*stream, step, column, F.coalesce(before, F.lit(0)).alias("_part")).where(F.col(column).isNotNull())
+    cells = cells.withColumn("offset", (F.row_number().over(Window.partitionBy(*stream, "_part").orderBy(step)) - 1) % max_chunk_length)
+    return cells.select(*stream, step, column, (F.sum((F.col("offset") == 0).cast("long")).over(w) - 1).alias("chunk_no"), "offset")
 
 
-def build_chunks(steps: DataFrame, stream: Sequence[str], step: str, column: str, max_chunk_length: int) -> DataFrame:
+def build_chunks(steps: DataFrame, stream: Sequence[str], step: str, column: str, max_chunk_length: int, flush: Column | None = None) -> DataFrame:
     """One row per chunk: its range of steps, whether steps are missing in it, its cells, and a key made from its place."""
-    cells = assign_chunks(steps, stream, step, column, max_chunk_length)
+    cells = assign_chunks(steps, stream, step, column, max_chunk_length, flush)
     made = cells.groupBy(*stream, "chunk_no").agg(
         F.min(step).alias("start"), F.max(step).alias("end"), F.count("*").alias("num_rows"),
         F.sort_array(F.collect_list(F.struct(step, column))).alias("_cells"),

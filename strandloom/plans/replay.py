@@ -356,6 +356,23 @@ class Client:
             at = F.lit(self.server._seq).cast("long") + F.monotonically_increasing_id()
             self.server.insert(table, row.select("*", at.alias("key"), F.lit(float(priority)).alias("priority")))
 
+    def insert_into(self, row: DataFrame, tables: Sequence[str], priorities: Sequence[float]) -> None:
+        """``insert`` with an item of priority ``priorities[i]`` in ``tables[i]``; nothing is written if they do not fit."""
+        if isinstance(tables, str) or len(tables) != len(priorities):
+            raise ValueError("tables and priorities must be sequences of equal length")
+        for t in tables:
+            self.server.table(t)
+        if not all(p >= 0 for p in priorities):
+            raise ValueError("priorities must not be negative or NaN")
+        for t, p in zip(tables, priorities, strict=True):
+            self.insert(row, {t: p})
+
+    def update_priorities(self, table: str, keys: Sequence[int], priorities: Sequence[float]) -> None:
+        """Sets ``priorities[i]`` for ``keys[i]``; unknown keys are ignored, the last priority of a repeated key counts."""
+        if len(keys) != len(priorities):
+            raise ValueError("keys and priorities must be equally long")
+        self.mutate_priorities(table, dict(zip(keys, priorities, strict=True)))
+
     def _number(self, items: DataFrame, order: Sequence[str]) -> DataFrame:
         """Items with ``op_seq`` from 0 in this order, in place of the order's columns: a sort by ranges, and each range's offset."""
         placed = self.server._settle(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop(*order))

@@ -254,6 +254,15 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("episode", "chunk_no", "start", "end", "num_rows", "sparse", F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(f"""WITH {LINES_SQL}, f AS (SELECT *, coalesce(sum((q % 3 = 0)::INT) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM lines),
+c AS (SELECT episode, part, step, q, (row_number() OVER (PARTITION BY episode, part ORDER BY step) - 1) // 2 AS piece FROM f WHERE q % 5 <> 0)
+SELECT episode, row_number() OVER (PARTITION BY episode ORDER BY part, piece) - 1 AS chunk_no, min(step) AS "start", max(step) AS "end", count(*) AS num_rows FROM c GROUP BY episode, part, piece""")
+def chunk_ranges_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of two cells at most, all closed after lines whose quantity is a multiple of three."""
+    lines = _all_lines(spark, sf_dir).withColumn("flush", F.col("q") % 3 == 0).withColumn("q", F.when(F.col("q") % 5 != 0, F.col("q")))
+    return C.build_chunks(lines, ["episode"], "step", "q", 2, F.col("flush")).select("episode", "chunk_no", "start", "end", "num_rows")
+
+
 @query(f"""WITH {CELLS_SQL}, p AS (SELECT episode, idx, idx // 3 AS chunk_no, idx % 3 AS o FROM cells WHERE q % 2 = 1),
 n AS (SELECT *, CASE WHEN lag(chunk_no) OVER w = chunk_no AND lag(o) OVER w + 1 = o THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY episode ORDER BY idx)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY episode ORDER BY idx) - 1 AS slice_no FROM n)
@@ -642,6 +651,13 @@ def history_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", text(A.py_slice(h, 1, -1, 2)).alias("middle"), text(A.py_slice(h, -3, None)).alias("last"), A.squeeze(A.py_slice(h, -1, None)).alias("newest"), F.get(ends, F.lit(1)).alias("oldest"))
 
 
+@query("SELECT conv_id, count(DISTINCT len(string_split(coalesce(text, ''), ' '))) = 1 AS uniform FROM conversations GROUP BY conv_id")
+def uniform_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the turns of a conversation, each a cell of words, are all of one shape."""
+    cells = read(spark, sf_dir, "conversations").select("conv_id", F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
+    return cells.groupBy("conv_id").agg(F.collect_list("words").alias("c")).select("conv_id", A.same_shape(F.col("c")).alias("uniform"))
+
+
 @query("""SELECT event_id, 1 AS missing FROM events WHERE event_type IN ('view', 'click')""")
 def open_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and clicks send only the first of their two parts."""

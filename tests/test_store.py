@@ -335,6 +335,34 @@ def test_restore_refuses_a_key_twice(spark):
         Server(spark, server.tables, checkpoints)
 
 
+def test_calls_with_lists(spark):
+    tables = [Table(n, K.Fifo(), K.Fifo(), 10, L.MinSize(1)) for n in "ab"]
+    client = Client(Server(spark, tables))
+    row = spark.createDataFrame([(5,)], "x long")
+    for names, priorities in ((["a"], [1.0, 2.0]), ("ab", [1.0, 2.0]), (["a", "b"], [1.0, float("nan")])):
+        with pytest.raises(ValueError):
+            client.insert_into(row, names, priorities)
+    with pytest.raises(KeyError):
+        client.insert_into(row, ["a", "none"], [1.0, 2.0])
+    assert client.server.items("a") is None
+    client.insert_into(row, ["a", "b"], [1.0, 2.0])
+    key = client.server.items("b").first()["key"]
+    with pytest.raises(ValueError):
+        client.update_priorities("b", [key], [])
+    client.update_priorities("b", [key, 12345], [7.0, 1.0])
+    assert [client.server.items(n).first()["priority"] for n in "ab"] == [1.0, 7.0]
+
+
+def test_flushed_chunks_and_shapes(spark):
+    rows = [(i, None if i == 4 else i, i in (1, 4, 5)) for i in range(9)]
+    made = C.build_chunks(spark.createDataFrame([(0, *r) for r in rows], "s long, step long, v long, f boolean"), ["s"], "step", "v", 3, F.col("f"))
+    assert [r["data"] for r in made.orderBy("chunk_no").collect()] == [[0, 1], [2, 3], [5], [6, 7, 8]]
+    cells = spark.createDataFrame([([[1, 2], [3, 4]],), ([[1], [2, 3]],), ([[1], None],), ([],)], "c array<array<int>>")
+    assert [r[0] for r in cells.select(A.same_shape(F.col("c"))).collect()] == [True, False, False, True]
+    with pytest.raises(Exception, match="different shapes"):
+        cells.select(A.require_same_shape(F.col("c"))).collect()
+
+
 def test_missing_cells(spark):
     d = spark.createDataFrame([([1, None, 3],)], "x array<int>")
     assert d.select(A.require_cells(A.gather(F.col("x"), [0, -1])).alias("y")).first()["y"] == [1, 3]
