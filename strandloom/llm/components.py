@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, join_hot
+from .shared import cut, join_hot, small_enough
 
 #: Links that a task's union-find holds at a time; a task with more starts a new forest.
 FOREST_LINKS = 500_000
@@ -45,26 +45,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _settle(edges: DataFrame) -> DataFrame:
+    """Links every node to the least of its smaller neighbours, and these to that one (small star).
+
+    A forest has one link a node, so no node has more smaller neighbours here than there were forests.
+    """
+    forests = edges.mapInArrow(_forest, "u binary, v binary")
+    below = forests.groupBy("u").agg(F.collect_set("v").alias("below")).withColumn("m", F.array_min("below"))
+    others = F.filter("below", lambda x: x != F.col("m"))
+    return cut(below.select(F.explode(F.concat(F.array("u"), others)).alias("u"), F.col("m").alias("v")), "small-star")
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v: binary), root being the component's least node.
 
-    Each round contracts links to forests inside tasks, then links the larger neighbours of every node to its least
-    neighbour (large star) and the smaller ones likewise (small star). It ends when every node is linked to its root
-    only. Neighbours are never gathered: a hub's least neighbour is an aggregate, joined back to its links.
+    Each round contracts links to forests inside tasks and settles every node on its least smaller neighbour (small
+    star); then links to a node that has smaller neighbours itself move on to the least of these (large star). It ends
+    when every node is linked to its root only. Larger neighbours are never gathered: a hub's least neighbour is an
+    aggregate, joined back to its links. On small tables a round costs what its shuffles and written tables cost, so it
+    has few: two tables, and a join only with nodes that have neighbours on both sides.
     """
-    edges = cut(links.select("u", "v").where(F.col("u") != F.col("v")).mapInArrow(_forest, "u binary, v binary").distinct(), "links")
+    edges = _settle(links.select("u", "v").where(F.col("u") != F.col("v")))
     for _ in range(max_rounds):
-        # edges: u > v. A forest of stars has no node both above and below another, nor two roots for one node.
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        crossing = edges.join(roots, "u", "left_semi").limit(1).count()
-        double = edges.groupBy("u").count().where("count > 1").limit(1).count() if not crossing else 1
-        if not crossing and not double:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = join_hot(both, least, ["u"], "n").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where(F.col("u") != F.col("v")).mapInArrow(_forest, "u binary, v binary").distinct(), "large-star")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = join_hot(large, least, ["u"], "n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u != v").mapInArrow(_forest, "u binary, v binary").distinct(), "small-star")
+        # edges: u > v
+        both = edges.select("u", "v", F.lit(0).alias("above")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1)))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("above").alias("n")), "least")
+        # In a forest of stars a node has one smaller neighbour and no other, or only larger ones.
+        if not least.where((F.col("low") < F.col("u")) & (F.col("low") < F.col("high"))).limit(1).count():
+            return least.select(F.col("u").alias("node"), F.least("u", "low").alias("root"))
+        inner = least.where((F.col("low") < F.col("u")) & (F.col("n") > 0)).select(F.col("u").alias("v"), F.col("low").alias("m"), "n")
+        near = small_enough(inner, 32)
+        moved = join_hot(edges, inner, ["v"], "n", how="left") if near is inner else edges.join(near, "v", "left")
+        edges = _settle(moved.select("u", F.coalesce("m", "v").alias("v")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

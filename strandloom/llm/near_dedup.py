@@ -161,18 +161,19 @@ def _beside(rows: DataFrame, pairs: DataFrame, texts: DataFrame, side: str, othe
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v; a written table) whose full shingle sets are alike enough. Texts are fetched for these classes only."""
+    """Those of the pairs (u, v, other columns; a written table) whose full shingle sets are alike enough. Texts are fetched for these classes only."""
+    columns = pairs.columns
     texts = _texts(pairs.select(F.col("u").alias("set_key")).union(pairs.select("v")).distinct(), classes, docs)
-    full = _beside(_beside(pairs, pairs, texts, "u", "v", "text"), pairs, texts, "v", "u", "other").select("u", "v", "text", "other")
+    full = _beside(_beside(pairs, pairs, texts, "u", "v", "text"), pairs, texts, "v", "u", "other_text").select("text", "other_text", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            (a, at), (b, bt) = (shingle_sets(strings(batch, c)) for c in ("text", "other"))
+            (a, at), (b, bt) = (shingle_sets(strings(batch, c)) for c in ("text", "other_text"))
             common = np.array([len(np.intersect1d(a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]], assume_unique=True)) for i in range(batch.num_rows)], np.int64)
             alike = 100 * common >= PERCENT * (np.diff(at) + np.diff(bt) - common)
-            yield pa.record_batch([batch.column(i).filter(pa.array(alike)) for i in (0, 1)], names=["u", "v"])
+            yield batch.select(columns).filter(pa.array(alike))
 
-    return cut(full.mapInArrow(run, "u binary, v binary"), "links")
+    return cut(full.mapInArrow(run, pairs.schema), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,13 +234,14 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
     few = cut(few, "few-sets").select("id", "rare", F.explode("sets").alias("u")).join(sets, "u").groupBy("id", "rare").agg(F.collect_list(F.struct("u", "n", "root", "most")).alias("sets"), F.count_distinct("root").alias("roots"))
     few = few.where("roots > 1").select("id", "rare", "sets", F.explode("sets").alias("a")).select("rare", "a", F.explode("sets").alias("b"))
     few = few.where((F.col("a.u") < F.col("b.u")) & (F.col("a.root") != F.col("b.root"))).groupBy("a", "b").agg(F.sum("rare").alias("rare"))
-    few = few.select("a.*", "rare", *[F.col(f"b.{x}").alias(y) for x, y in (("u", "v"), ("n", "m"), ("most", "other_most"))])
-    rest = rest.select("u", "v").union(few.where(near & (F.least("most", "other_most") + F.col("rare") * (100 + PERCENT) >= enough)).select("u", "v"))
-    rest = rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    rest = rest.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+    few = few.select("a.*", "rare", *[F.col(f"b.{x}").alias(y) for x, y in (("u", "v"), ("n", "m"), ("root", "other"), ("most", "other_most"))])
+    pair = ["u", "v", "root", "other"]
+    rest = rest.select(*pair).union(few.where(near & (F.least("most", "other_most") + F.col("rare") * (100 + PERCENT) >= enough)).select(*pair))
+    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    rest = rest.select(*ordered, "root", "other").dropDuplicates(["u", "v"]).join(stars.select(*ordered), ["u", "v"], "left_anti")
     more = _confirm(cut(rest, "rest"), classes, docs)
-    if more.limit(1).count():
-        roots = components(links.union(more))
+    if more.limit(1).count():  # the groups found so far are linked by their roots
+        roots = components(roots.toDF("u", "v").union(more.select("root", "other")))
 
     grouped = classes.select("set_key", "doc_id", "rows").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     grouped = cut(grouped, "grouped")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import fingerprints, near_dedup, packing, quality_cnn, quality_rules, sentencepiece_bpe, sharding, substring_dedup, tokenizer_files, toxicity, url_filter
+from strandloom.llm import components, fingerprints, near_dedup, packing, quality_cnn, quality_rules, sentencepiece_bpe, sharding, substring_dedup, tokenizer_files, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -425,3 +425,27 @@ def test_pipeline(spark, tmp_path):
     tok = Tokenizer.from_file(tokenizer_files.path("word_bpe_49k.json"))
     want = [repr((d, n)) for d, n in ((d, len(tok.encode(t, add_special_tokens=False).ids) + 1) for d, t in left)]
     assert collect(corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n")), "doc_id", "n") == sorted(want)
+
+
+def test_components_take_few_tables(spark, monkeypatch):
+    """Paths, hubs and knots of links by union-find; stars that meet in their hubs' copies need two rounds, which write two tables each."""
+    r = random.Random(5)
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    stars = [(x, 10 * (x // 10)) for x in range(300) if x % 10] + [(10 * i, 0) for i in range(1, 15)] + [(10 * i, 150) for i in range(16, 30)]
+    knots = [(i, i + 1) for i in range(1000, 1120)] + [(r.randint(2000, 2400), r.randint(2000, 2400)) for _ in range(320)] + [(7, 7), (3000, 3001), (3001, 3000)]
+    tables = []
+    monkeypatch.setattr(components, "cut", lambda df, table, write=components.cut: tables.append(table) or write(df, table))
+    for links in (stars, stars + knots):
+        least = {name(x): name(x) for pair in links for x in pair if pair[0] != pair[1]}
+        for _ in least:
+            before = dict(least)
+            for a, b in ((name(a), name(b)) for a, b in links if a != b):
+                least[a] = least[b] = min(least[a], least[b])
+            if before == least:
+                break
+        tables.clear()
+        rows = spark.createDataFrame([(name(a), name(b)) for a, b in links], "u binary, v binary").repartition(9)
+        got = components.components(rows).collect()
+        assert sorted((bytes(x.node), bytes(x.root)) for x in got) == sorted(least.items())
+        assert len(tables) <= 4 or links is not stars
+    assert not components.components(rows.limit(0)).count()
